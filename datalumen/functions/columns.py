@@ -12,7 +12,9 @@ from datalumen.functions import fixed
 
 PLAIN_NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 FORMATTED_NUMBER = r"^\(?[+-]?[$£€¥₹]?\s*\d[\d,]*(\.\d+)?\s*%?\)?$"
-DATE_SHAPE = r"^\d{1,4}[-/]\d{1,2}[-/]\d{1,4}"
+ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}:\d{1,2})?$"
+SLASH_DATE = r"^\d{1,4}/\d{1,2}/\d{1,4}$"
+SPACE = " \t\n\x0b\f\r"
 
 
 def is_text(field: T.StructField) -> bool:
@@ -45,8 +47,8 @@ def col(name: str) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Remove white space of any kind at both ends (``trim`` removes spaces only)."""
-    return F.regexp_replace(F.regexp_replace(c, r"^\s+", ""), r"\s+$", "")
+    """Remove white space of any kind at both ends (``trim`` alone removes spaces only)."""
+    return F.trim(c, F.lit(SPACE))
 
 
 def is_placeholder(c: Column) -> Column:
@@ -60,10 +62,13 @@ def missing(c: Column, field: T.StructField) -> Column:
     return c.isNull()
 
 
+def _number(trimmed: Column) -> Column:
+    return F.when(trimmed.rlike(PLAIN_NUMBER), trimmed.try_cast("double"))
+
+
 def plain_number(c: Column) -> Column:
     """Text to double; anything that is not a number becomes null (ANSI mode would raise)."""
-    trimmed = strip(c)
-    return F.when(trimmed.rlike(PLAIN_NUMBER), trimmed.try_cast("double"))
+    return _number(strip(c))
 
 
 def loose_number(c: Column) -> Column:
@@ -77,19 +82,22 @@ def formatted_number(c: Column, lenient: bool = False) -> Column:
     The strict form converts only values that are a number as a whole, so codes such as ``TX1001``
     and dates are left alone; the lenient form drops every other character first.
     """
-    trimmed = strip(c)
-    bare = F.regexp_replace(trimmed, r"[$£€¥₹,\s%]", "")
-    bare = F.regexp_replace(bare, r"\((\d+\.?\d*)\)", "-$1")
+    bare = F.translate(c, "$£€¥₹,%" + SPACE, "")
+    signed = F.when(bare.contains("("), F.regexp_replace(bare, r"\((\d+\.?\d*)\)", "-$1")).otherwise(bare)
     if lenient:
-        return plain_number(F.regexp_replace(bare, r"[^\d.\-+]", ""))
-    return F.when(trimmed.rlike(FORMATTED_NUMBER), plain_number(bare))
+        return _number(F.regexp_replace(signed, r"[^\d.\-+]", ""))
+    return F.when(strip(c).rlike(FORMATTED_NUMBER), _number(signed))
 
 
 def parsed_date(c: Column) -> Column:
-    """Text to timestamp by the accepted layouts, null where none fits."""
+    """Text to timestamp by the accepted layouts, null where none fits.
+
+    ISO layouts go through the plain cast, which is many times faster than a format.
+    """
     trimmed = strip(c)
-    parses = [F.try_to_timestamp(trimmed, F.lit(layout)) for layout in fixed.DATE_FORMATS]
-    return F.when(trimmed.rlike(DATE_SHAPE), F.coalesce(*parses))
+    slashed = [F.try_to_timestamp(trimmed, F.lit(layout)) for layout in fixed.SLASH_FORMATS]
+    return F.when(trimmed.rlike(ISO_DATE), trimmed.try_cast("timestamp")).when(
+        trimmed.rlike(SLASH_DATE), F.coalesce(*slashed))
 
 
 def clean_double(c: Column, field: T.StructField) -> Column:

@@ -17,7 +17,7 @@ TINY = 1e-300
 
 def _lentz(term, steps: int = 2000) -> float:
     """Value of the continued fraction 1/(1 + a1/(1 + a2/(1 + ...))) with ``term(i)`` giving a_i."""
-    c, d, value = 1.0, 1.0, 1.0
+    c, d, value = 1.0, 0.0, 1.0
     for i in range(1, steps):
         a = term(i)
         d = 1.0 + a * d

@@ -27,10 +27,8 @@ CATEGORY_RATIO = 0.3
 CATEGORY_LEVELS = 50
 HIGH_CARDINALITY_PCT = 80
 
-# Date layouts accepted in text columns.
-DATE_FORMATS = [
-    "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy",
-]
+# Date layouts accepted in text columns besides ISO dates and times.
+SLASH_FORMATS = ["yyyy/MM/dd", "MM/dd/yyyy"]
 
 # Label spellings for columns whose name holds one of the words.
 LABEL_COLUMNS = ["gender", "sex"]

@@ -16,6 +16,7 @@ from datalumen.functions.columns import (
 )
 from datalumen.operators.inspection import TableMeta
 from datalumen.operators.quantiles import fitted_quantiles
+from datalumen.session import checkpointed
 
 
 # --- single steps -------------------------------------------------------------------------------------
@@ -32,16 +33,30 @@ def fit_numeric_strings(df: DataFrame, columns: list[str] | None = None, lenient
     names = [n for n in names if is_text(df.schema[n])]
     if not names:
         return {}
-    aggs = []
-    for i, name in enumerate(names):
-        value = formatted_number(col(name), lenient)
-        aggs += [F.count(col(name)).alias(f"n{i}"), F.count(value).alias(f"hit{i}"),
-                 hits((value != F.floor(value)) | (F.abs(value) > 2.0**53)).alias(f"frac{i}")]
-    row = df.agg(*aggs).first()
+    return _numeric_kinds(names, _text_stats(df, names, True, lenient))
+
+
+def _text_stats(df: DataFrame, names: list[str], strip_first: bool, lenient: bool) -> dict:
+    """Counts over the cells of the text columns, ``{column: row}``: numbers, white space, placeholders.
+
+    Every cell is one row with its column number, so each test is stated once and merged in every task.
+    """
+    cells = [F.struct(F.lit(i).alias("i"), col(n).alias("text")) for i, n in enumerate(names)]
+    text, value = F.col("text"), F.col("value")
+    bare = strip(text)
+    rows = df.select(F.inline(F.array(*cells))).withColumn("value", formatted_number(text, lenient))
+    stats = rows.groupBy("i").agg(
+        F.count(text).alias("valid"), F.count(value).alias("numbers"),
+        hits((value != F.floor(value)) | (F.abs(value) > 2.0**53)).alias("fractions"),
+        hits(text != bare).alias("padded"), hits(is_placeholder(bare if strip_first else text)).alias("placeholders"))
+    return {names[r["i"]]: r for r in stats.collect()}
+
+
+def _numeric_kinds(names: list[str], stats: dict) -> dict:
     return {
-        name: ("double" if row[f"frac{i}"] else "bigint", row[f"hit{i}"])
-        for i, name in enumerate(names)
-        if row[f"hit{i}"] and row[f"hit{i}"] / row[f"n{i}"] >= fixed.CONVERT_RATE
+        n: ("double" if stats[n]["fractions"] else "bigint", stats[n]["numbers"])
+        for n in names
+        if n in stats and stats[n]["numbers"] and stats[n]["numbers"] / stats[n]["valid"] >= fixed.CONVERT_RATE
     }
 
 
@@ -101,7 +116,7 @@ def fit_numeric_fill(df: DataFrame, columns: list[str], strategy: str = "median"
         raise ValueError("strategy is median, mean or auto")
     if not columns:
         return {}
-    aggs = []
+    aggs = [F.count("*").alias("rows")]
     for i, c in enumerate(columns):
         value = measure(df, c)
         aggs += [hits(value.isNull()).alias(f"gap{i}"), F.avg(value).alias(f"mean{i}"),
@@ -112,7 +127,7 @@ def fit_numeric_fill(df: DataFrame, columns: list[str], strategy: str = "median"
         c: "median" if strategy == "median" or (strategy == "auto" and abs(row[f"skew{i}"] or 0) > 0.5) else "mean"
         for c, i in gaps.items()
     }
-    medians = fitted_quantiles(df, [c for c in gaps if chosen[c] == "median"], [0.5])
+    medians = fitted_quantiles(df, [c for c in gaps if chosen[c] == "median"], [0.5], known=row["rows"])
     return {
         c: (medians[c][0] if chosen[c] == "median" else row[f"mean{i}"], chosen[c], row[f"gap{i}"], row[f"skew{i}"])
         for c, i in gaps.items()
@@ -179,12 +194,12 @@ def fit_fences(df: DataFrame, columns: list[str], min_rows: int = 10) -> dict[st
     """Outlier fences: quartiles widened by 1.5 times their distance, or mean and 3.5 deviations if that is 0."""
     if not columns:
         return {}
-    quarts = fitted_quantiles(df, columns, [0.25, 0.75])
-    aggs = []
+    aggs = [F.count("*").alias("rows")]
     for i, c in enumerate(columns):
         value = measure(df, c)
         aggs += [F.count(value).alias(f"n{i}"), F.avg(value).alias(f"m{i}"), F.stddev_samp(value).alias(f"s{i}")]
     row = df.agg(*aggs).first()
+    quarts = fitted_quantiles(df, columns, [0.25, 0.75], known=row["rows"])
     bounds = {}
     for i, c in enumerate(columns):
         if row[f"n{i}"] < min_rows:
@@ -242,6 +257,7 @@ class CleaningOptions:
     category_fill: str = "mode"
     outliers: str = "clip"
     lenient: bool = False
+    durable: bool = False
 
 
 @dataclass(frozen=True)
@@ -283,6 +299,11 @@ class CleaningResult:
     log: DataFrame
     plan: CleaningPlan
     meta: TableMeta
+    kept: DataFrame
+
+    def release(self) -> None:
+        """Give back the memory and disk of the kept table."""
+        self.kept.unpersist()
 
 
 LOG_SCHEMA = "step int, issue string, action string, column string, records_affected bigint, details string"
@@ -293,6 +314,8 @@ def clean(df: DataFrame, meta: TableMeta, options: CleaningOptions = CleaningOpt
 
     Text is fitted in one pass over the raw table, fills on the table without duplicates, and fences on
     the filled table. Ids and dates are never turned into numbers unless ``lenient`` asks for it.
+    The table without duplicates is kept for the later passes: in the executors, or with ``durable`` in
+    the shared folder, which suits tables that take long to rebuild.
     """
     log: list[tuple] = []
 
@@ -301,23 +324,17 @@ def clean(df: DataFrame, meta: TableMeta, options: CleaningOptions = CleaningOpt
             log.append((len(log) + 1, issue, action, column, int(affected), details))
 
     guarded = set() if options.lenient else {*meta.id_columns, *meta.datetime_columns}
-    numbers = {}
-    if options.numeric_strings:
-        numbers = fit_numeric_strings(df, [c for c in text_columns(df) if c not in guarded], options.lenient)
-        for c, (kind, n) in numbers.items():
-            note("formatted numbers", f"converted to {kind}", c, n)
-    texts = [c for c in text_columns(df) if c not in numbers]
-    if texts and (options.trim or options.nulls):
-        seen = [strip(col(c)) if options.trim else col(c) for c in texts]
-        row = df.agg(
-            *[hits(col(c) != strip(col(c))).alias(f"trim{i}") for i, c in enumerate(texts)],
-            *[hits(is_placeholder(s)).alias(f"null{i}") for i, s in enumerate(seen)]).first()
-        if options.trim:
-            for i, c in enumerate(texts):
-                note("white space", "trimmed", c, row[f"trim{i}"])
-        if options.nulls:
-            for i, c in enumerate(texts):
-                note("placeholders", "set to null", c, row[f"null{i}"])
+    texts = text_columns(df)
+    maybe = [c for c in texts if c not in guarded] if options.numeric_strings else []
+    stats = _text_stats(df, texts, options.trim, options.lenient) if texts else {}
+    numbers = _numeric_kinds(maybe, stats)
+    for c, (kind, n) in numbers.items():
+        note("formatted numbers", f"converted to {kind}", c, n)
+    texts = [c for c in texts if c in stats and c not in numbers]
+    for c in texts if options.trim else []:
+        note("white space", "trimmed", c, stats[c]["padded"])
+    for c in texts if options.nulls else []:
+        note("placeholders", "set to null", c, stats[c]["placeholders"])
     plan = CleaningPlan(
         numbers={c: kind for c, (kind, _) in numbers.items()}, trim=tuple(texts) if options.trim else (),
         nulls=tuple(texts) if options.nulls else (), dedup=options.dedup, lenient=options.lenient)
@@ -325,22 +342,20 @@ def clean(df: DataFrame, meta: TableMeta, options: CleaningOptions = CleaningOpt
 
     body = plan.rewrite_cells(df)
     if options.dedup:
-        before = df.count()
-        body = clean_dedup(body).persist(StorageLevel.MEMORY_AND_DISK)
-        note("duplicate rows", "removed", "*", before - body.count())
-
+        body = clean_dedup(body)
+        body = checkpointed(body) if options.durable else body.persist(StorageLevel.MEMORY_AND_DISK)
     labels = label_columns(body, [c for c in roles.categorical_columns if c in texts]) if options.labels else {}
     dates = [c for c in roles.datetime_columns if is_text(body.schema[c])] if options.dates else []
-    checks = {f"l_{c}": hits(_relabel(col(c), m) != col(c)) for c, m in labels.items()}
-    checks |= {f"d_{c}": F.count(parsed_date(col(c))) for c in dates}
-    if checks:
-        row = body.agg(*[e.alias(n) for n, e in checks.items()]).first()
-        labels = {c: m for c, m in labels.items() if row[f"l_{c}"]}
-        dates = [c for c in dates if row[f"d_{c}"]]
-        for c in labels:
-            note("label spellings", "unified", c, row[f"l_{c}"])
-        for c in dates:
-            note("dates as text", "converted to timestamp", c, row[f"d_{c}"])
+    found = body.agg(
+        F.count("*").alias("rows"), *[hits(_relabel(col(c), m) != col(c)).alias(f"l_{c}") for c, m in labels.items()],
+        *[F.count(parsed_date(col(c))).alias(f"d_{c}") for c in dates]).first()
+    note("duplicate rows", "removed", "*", meta.num_rows - found["rows"])
+    labels = {c: m for c, m in labels.items() if found[f"l_{c}"]}
+    dates = [c for c in dates if found[f"d_{c}"]]
+    for c in labels:
+        note("label spellings", "unified", c, found[f"l_{c}"])
+    for c in dates:
+        note("dates as text", "converted to timestamp", c, found[f"d_{c}"])
     plan = CleaningPlan(**{**vars(plan), "labels": labels, "dates": tuple(dates)})
 
     shaped = plan.finish_cells(body)
@@ -367,4 +382,4 @@ def clean(df: DataFrame, meta: TableMeta, options: CleaningOptions = CleaningOpt
         if options.outliers == "clip":
             plan = CleaningPlan(**{**vars(plan), "fences": fences})
     return CleaningResult(
-        plan.finish_cells(body), df.sparkSession.createDataFrame(log, LOG_SCHEMA), plan, roles)
+        plan.finish_cells(body), df.sparkSession.createDataFrame(log, LOG_SCHEMA), plan, roles, body)

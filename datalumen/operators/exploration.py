@@ -47,8 +47,9 @@ def corr_pearson(df: DataFrame, columns: list[str]) -> DataFrame:
 def corr_spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rank correlation of every pair; ties take their average rank, worked out per distinct value."""
     numbers = complete_rows(df, columns)
+    rows = numbers.count()
     for c in columns:
-        numbers = ranked(numbers, [], c).withColumn(f"_rank_{c}", F.col("average_rank")).drop(
+        numbers = ranked(numbers, [], c, known=rows).withColumn(f"_rank_{c}", F.col("average_rank")).drop(
             "rank", "dense_rank", "percent_rank", "cume_dist", "average_rank")
     ranks = numbers.select(*[col(f"_rank_{c}").alias(c) for c in columns])
     return _pair_correlations(ranks, columns, "spearman")
@@ -157,6 +158,10 @@ def trend_growth(df: DataFrame, time: str, measures: list[str], grain: str | Non
         "percentage_growth", share(F.col("absolute_change"), F.nullif(F.col("initial_value"), F.lit(0.0))))
 
 
+def _two_digits(v: Column) -> Column:
+    return F.coalesce(F.round(v, 2).try_cast("decimal(38,2)").cast("string"), v.cast("string"))
+
+
 def anomaly_iqr(df: DataFrame, columns: list[str], samples: int = 5) -> DataFrame:
     """Values beyond 1.5 quartile distances per column, with the largest of them as samples."""
     quarts = fitted_quantiles(df, columns, [0.25, 0.75])
@@ -177,8 +182,7 @@ def anomaly_iqr(df: DataFrame, columns: list[str], samples: int = 5) -> DataFram
         for c, (lo, hi) in bounds.items()]))).filter("value IS NOT NULL")
     place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("value")))
     top = found.withColumn("_rn", place).filter(F.col("_rn") <= samples).groupBy("column").agg(
-        F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list("value"))), lambda v: F.round(v, 2).cast("string")),
-                     ", ").alias("sample_values"))
+        F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list("value"))), _two_digits), ", ").alias("sample_values"))
     return table.filter("valid_count >= 5").join(F.broadcast(top), "column", "left").drop("valid_count").withColumn(
         "sample_values", F.coalesce("sample_values", F.lit("")))
 
@@ -192,9 +196,10 @@ def outlier_rows(df: DataFrame, column: str) -> DataFrame:
 
 def anomaly_mad(df: DataFrame, columns: list[str]) -> DataFrame:
     """Values with a modified z-score above 3.5 per column; none when the median deviation is 0."""
-    centres = {c: q[0] for c, q in fitted_quantiles(df, columns, [0.5]).items() if q}
+    rows = df.count()
+    centres = {c: q[0] for c, q in fitted_quantiles(df, columns, [0.5], known=rows).items() if q}
     spread = df.select(*[F.abs(measure(df, c) - F.lit(m)).alias(c) for c, m in centres.items()])
-    mads = {c: q[0] for c, q in fitted_quantiles(spread, list(centres), [0.5]).items()}
+    mads = {c: q[0] for c, q in fitted_quantiles(spread, list(centres), [0.5], known=rows).items()}
     aggs, entries = [], []
     for i, c in enumerate(centres):
         score = F.lit(0.6745) * col(c) / F.lit(mads[c]) if mads[c] else F.lit(0.0)

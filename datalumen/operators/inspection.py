@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -19,22 +20,47 @@ def _usable(df: DataFrame) -> list[T.StructField]:
     return [f for f in df.schema if not is_nested(f)]
 
 
+def _cells(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    """The table as one row per cell: column number, text of text columns, missing flag, and a boolean-word flag.
+
+    Grouping by the column number needs each test once, however many columns there are; the groups are
+    merged in every task before the shuffle, so one row per task and column moves.
+    """
+    rows = []
+    for i, f in enumerate(fields):
+        c = col(f.name)
+        if is_text(f):
+            word = (F.length(c) <= 5) & F.lower(c).isin(fixed.BOOLEAN_WORDS)
+        elif isinstance(f.dataType, T.BooleanType):
+            word = c.isNotNull()
+        elif isinstance(f.dataType, T.IntegralType):
+            word = c.isin(0, 1)
+        else:
+            word = F.lit(False)
+        rows.append(F.struct(
+            F.lit(i).alias("position"), (c if is_text(f) else F.lit(None).cast("string")).alias("text"),
+            missing(c, f).alias("gone"), word.alias("word")))
+    return df.select(F.inline(F.array(*rows)))
+
+
+def _named(stats: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    """Column names in place of column numbers; the list of names is a constant."""
+    names = F.array(*[F.lit(f.name) for f in fields])
+    return stats.withColumn("column", names[F.col("position")])
+
+
 def missing_by_column(df: DataFrame) -> DataFrame:
     """Rows, nulls, placeholders and the effective missing share of every column, in one pass.
 
     A placeholder is counted on non-null values only, so that no missing cell counts twice.
     """
     fields = _usable(df)
-    aggs = [F.count("*").alias("_rows")]
-    for i, f in enumerate(fields):
-        aggs.append(hits(missing(col(f.name), f)).alias(f"_null_{i}"))
-        aggs.append((hits(is_placeholder(col(f.name))) if is_text(f) else F.lit(0).cast("bigint")).alias(f"_hold_{i}"))
-    entries = [
-        [F.lit(f.name), F.col("_rows"), F.col(f"_null_{i}"), F.col(f"_hold_{i}"),
-         share(F.col(f"_null_{i}") + F.col(f"_hold_{i}"), F.col("_rows"))]
-        for i, f in enumerate(fields)
-    ]
-    return tidy(df.agg(*aggs), entries, ["column", "total_count", "missing_count", "null_like_count", "missing_pct"])
+    stats = _cells(df, fields).groupBy("position").agg(
+        F.count("*").alias("total_count"), hits(F.col("gone")).alias("missing_count"),
+        hits(is_placeholder(F.col("text"))).alias("null_like_count"))
+    return _named(stats, fields).select(
+        "column", "total_count", "missing_count", "null_like_count",
+        share(F.col("missing_count") + F.col("null_like_count"), F.col("total_count")).alias("missing_pct"))
 
 
 def distinct_by_column(df: DataFrame, approx: bool = False) -> DataFrame:
@@ -50,21 +76,15 @@ def distinct_by_column(df: DataFrame, approx: bool = False) -> DataFrame:
     return tidy(wide, entries, ["column", "total_count", "unique_count", "unique_pct"])
 
 
-def _rate_by_text_column(df: DataFrame, tests: dict[str, callable]) -> DataFrame:
-    names = [f.name for f in df.schema if is_text(f)]
-    if not names:
+def _rate_by_text_column(df: DataFrame, tests: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    fields = [f for f in df.schema if is_text(f)]
+    if not fields:
         schema = "column string, valid_count bigint, " + ", ".join(f"{t} double" for t in tests)
         return df.sparkSession.createDataFrame([], schema)
-    aggs = []
-    for i, name in enumerate(names):
-        aggs.append(F.count(col(name)).alias(f"_n_{i}"))
-        aggs += [hits(test(col(name))).alias(f"_{t}_{i}") for t, test in tests.items()]
-    entries = [
-        [F.lit(name), F.col(f"_n_{i}"),
-         *[F.coalesce(F.try_divide(F.col(f"_{t}_{i}"), F.col(f"_n_{i}")), F.lit(0.0)) for t in tests]]
-        for i, name in enumerate(names)
-    ]
-    return tidy(df.agg(*aggs), entries, ["column", "valid_count", *tests])
+    stats = _cells(df, fields).groupBy("position").agg(
+        F.count("text").alias("valid_count"), *[hits(test(F.col("text"))).alias(t) for t, test in tests.items()])
+    return _named(stats, fields).select("column", "valid_count", *[
+        F.coalesce(F.try_divide(F.col(t), F.col("valid_count")), F.lit(0.0)).alias(t) for t in tests])
 
 
 def datetime_parse_rate(df: DataFrame) -> DataFrame:
@@ -77,9 +97,15 @@ def numeric_string_rate(df: DataFrame) -> DataFrame:
     return _rate_by_text_column(df, {"number_rate": lambda c: loose_number(c).isNotNull()})
 
 
+def pii_match(c: Column, name: str) -> Column:
+    """Whether the pattern occurs; a cheap necessary condition spares most values the search."""
+    hint = {"email": c.contains("@"), "ssn": c.contains("-"), "phone": F.length(c) >= 10, "credit_card": F.length(c) >= 13}
+    return hint.get(name, F.lit(True)) & c.rlike(fixed.PII_PATTERNS[name])
+
+
 def pii_rates(df: DataFrame) -> DataFrame:
     """Share of values with a match of each personal-data pattern, and the first pattern above the threshold."""
-    tests = {f"{name}_rate": (lambda c, p=p: c.rlike(p)) for name, p in fixed.PII_PATTERNS.items()}
+    tests = {f"{name}_rate": (lambda c, name=name: pii_match(c, name)) for name in fixed.PII_PATTERNS}
     rates = _rate_by_text_column(df, tests)
     return rates.withColumn("pii_type", _first_pii({name: F.col(f"{name}_rate") for name in fixed.PII_PATTERNS}))
 
@@ -108,26 +134,18 @@ def inspect_columns(df: DataFrame, approx: bool = False) -> DataFrame:
     fields = _usable(df)
     if not fields:
         raise ValueError("the table has no column of a plain type")
-    aggs = [F.count("*").alias("_rows")]
-    for i, f in enumerate(fields):
-        c = col(f.name)
-        tests = {"null": missing(c, f)}
-        if not is_datetime(f):
-            tests["bool"] = F.lower(c.cast("string")).isin(fixed.BOOLEAN_WORDS)
-        if is_text(f):
-            tests |= {"hold": is_placeholder(c), "date": parsed_date(c).isNotNull(), "num": loose_number(c).isNotNull()}
-            tests |= {f"pii_{name}": c.rlike(pattern) for name, pattern in fixed.PII_PATTERNS.items()}
-        aggs += [hits(test).alias(f"_{t}_{i}") for t, test in tests.items()]
-    wide = df.agg(*aggs)
-    tests = ["null", "hold", "bool", "date", "num", *[f"pii_{name}" for name in fixed.PII_PATTERNS]]
+    text = F.col("text")
+    tests = {
+        "null": F.col("gone"), "bool": F.col("word"), "hold": is_placeholder(text), "date": parsed_date(text).isNotNull(),
+        "num": loose_number(text).isNotNull(), **{f"pii_{name}": pii_match(text, name) for name in fixed.PII_PATTERNS},
+    }
+    stats = _cells(df, fields).groupBy("position").agg(
+        F.count("*").alias("total_count"), *[hits(test).alias(f"_{t}") for t, test in tests.items()])
     kinds = ["text" if is_text(f) else "datetime" if is_datetime(f) else "numeric" if is_numeric(f) else "boolean"
              for f in fields]
-    entries = [
-        [F.lit(i), F.lit(f.name), F.lit(f.dataType.simpleString()), F.lit(kind), F.col("_rows"),
-         *[F.col(f"_{t}_{i}") if f"_{t}_{i}" in wide.columns else F.lit(0).cast("bigint") for t in tests]]
-        for i, (f, kind) in enumerate(zip(fields, kinds))
-    ]
-    stats = tidy(wide, entries, ["position", "column", "raw_type", "_kind", "total_count", *[f"_{t}" for t in tests]])
+    stats = _named(stats, fields).withColumns({
+        "raw_type": F.array(*[F.lit(f.dataType.simpleString()) for f in fields])[F.col("position")],
+        "_kind": F.array(*[F.lit(k) for k in kinds])[F.col("position")]})
     counts = distinct_by_column(df, approx).select("column", "unique_count")
     return _with_roles(stats.join(F.broadcast(counts), "column"))
 

@@ -26,6 +26,11 @@ def largest_group(df: DataFrame, by: list[str]) -> int:
     return df.groupBy(*[col(k) for k in by]).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
 
 
+def small_groups(df: DataFrame, by: list[str], limit: int, known: int | None = None) -> bool:
+    """Whether every group fits one task, by a bound the caller knows or else by counting."""
+    return (known is not None and known <= limit) or largest_group(df, by) <= limit
+
+
 def _sliced(df: DataFrame, by: list[str], order: list[Column], limit: int) -> DataFrame:
     """The rows in ordered slices of about half the limit, written down so that every reader sees the same slices."""
     slices = max(2, ceil(2 * df.count() / limit))
@@ -40,13 +45,15 @@ def numbered(
     name: str = "rn",
     sums: dict[str, str] | None = None,
     limit: int = ROWS_PER_TASK,
+    known: int | None = None,
 ) -> DataFrame:
     """Add the 1-based position of each row in its group and running totals ``{new column: measure}``.
 
-    ``order`` must leave no ties, so that slices can split every group.
+    ``order`` must leave no ties, so that slices can split every group. A ``known`` bound on the size of
+    the groups saves the count.
     """
     sums = sums or {}
-    if largest_group(df, by) <= limit:
+    if small_groups(df, by, limit, known):
         window = Window.partitionBy(*[col(k) for k in by]).orderBy(*order)
         upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         out = df.withColumn(name, F.row_number().over(window).cast("bigint"))
@@ -125,11 +132,16 @@ def framed(
     return out.filter("_own").drop("_rn", "_home", "_block", "_own")
 
 
-def ranked(df: DataFrame, by: list[str], value: str, descending: bool = False, limit: int = ROWS_PER_TASK) -> DataFrame:
+def ranked(
+    df: DataFrame, by: list[str], value: str, descending: bool = False, limit: int = ROWS_PER_TASK,
+    known: int | None = None,
+) -> DataFrame:
     """Add rank, dense_rank, percent_rank, cume_dist and the average rank of ``value`` within ``by``.
 
-    Ranks depend on the value only, so they are worked out once per distinct value and joined back.
+    Beyond the size of a task the ranks are worked out once per distinct value and joined back.
     """
+    if small_groups(df, by, limit, known):
+        return _ranked_by_window(df, by, value, descending)
     counts = df.groupBy(*[col(k) for k in by], col(value)).agg(F.count("*").alias("_n"))
     order = [F.desc(value) if descending else F.asc(value)]
     placed = numbered(counts, by, order, "_dense", {"_upto": "_n"}, limit)
@@ -148,11 +160,23 @@ def ranked(df: DataFrame, by: list[str], value: str, descending: bool = False, l
     return join_null_safe(df, table, [*by, value])
 
 
+def _ranked_by_window(df: DataFrame, by: list[str], value: str, descending: bool) -> DataFrame:
+    keys = [col(k) for k in by]
+    window = Window.partitionBy(*keys).orderBy(F.desc(value) if descending else F.asc(value))
+    total = F.count("*").over(Window.partitionBy(*keys))
+    out = df.select(
+        *[col(c) for c in df.columns], F.rank().over(window).cast("bigint").alias("rank"),
+        F.dense_rank().over(window).cast("bigint").alias("dense_rank"), F.percent_rank().over(window).alias("percent_rank"),
+        F.cume_dist().over(window).alias("cume_dist"), total.alias("_total"))
+    upto = F.round(F.col("cume_dist") * F.col("_total"))
+    return out.withColumn("average_rank", (F.col("rank") + upto) / 2.0).drop("_total")
+
+
 def tiles(df: DataFrame, n: int, order: list[Column], name: str = "tile", limit: int = ROWS_PER_TASK) -> DataFrame:
     """NTILE over the whole frame: the first ``rows mod n`` tiles hold one row more than the others."""
     total = df.count()
     size, extra = divmod(total, n)
-    placed = numbered(df, [], order, "_rn", limit=limit)
+    placed = numbered(df, [], order, "_rn", limit=limit, known=total)
     zero = F.col("_rn") - 1
     edge = extra * (size + 1)
     early = F.floor(zero / (size + 1)) + 1

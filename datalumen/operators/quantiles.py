@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datalumen.functions.columns import col, join_null_safe, measure
-from datalumen.operators.ordered import ROWS_PER_TASK, largest_group, numbered
+from datalumen.operators.ordered import ROWS_PER_TASK, numbered, small_groups
 
 
 def quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None, limit: int = ROWS_PER_TASK
+    df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None, limit: int = ROWS_PER_TASK,
+    known: int | None = None,
 ) -> DataFrame:
     """One row per group (one row without groups); each column holds its array of quantiles.
 
@@ -21,7 +22,7 @@ def quantiles(
     by = by or []
     keys = [col(k) for k in by]
     slim = df.select(*keys, *[measure(df, c).alias(c) for c in columns])
-    if largest_group(slim, by) <= limit:
+    if small_groups(slim, by, limit, known):
         picks = [F.percentile(col(c), [float(p) for p in probs]).alias(c) for c in columns]
         return slim.groupBy(*keys).agg(*picks) if by else slim.agg(*picks)
 
@@ -56,9 +57,11 @@ def quantiles(
     return arrays.groupBy(*keys).agg(*last) if by else arrays.agg(*last)
 
 
-def fitted_quantiles(df: DataFrame, columns: list[str], probs: list[float], limit: int = ROWS_PER_TASK) -> dict:
+def fitted_quantiles(
+    df: DataFrame, columns: list[str], probs: list[float], limit: int = ROWS_PER_TASK, known: int | None = None
+) -> dict:
     """Quantiles of the whole frame as ``{column: [values]}``, to be used as constants."""
     if not columns:
         return {}
-    row = quantiles(df, columns, probs, limit=limit).first()
+    row = quantiles(df, columns, probs, limit=limit, known=known).first()
     return {c: list(row[c]) if row[c] is not None else None for c in columns}

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -22,7 +21,9 @@ OVERLAP = 200
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
 QUERY_BLOCK = 256
+QUERY_WORDS = 20_000
 DOC_BLOCK = 256
+DOC_CELLS = 4_000_000
 HIT_SCHEMA = "query_id bigint, doc_id bigint, score double"
 
 
@@ -36,13 +37,21 @@ def chunk_documents(docs: DataFrame, key: str, text: str, size: int = CHUNK, ove
 
 
 def tokens(c: Column) -> Column:
-    return F.filter(F.split(c, r"\s+"), lambda t: t != "")
-
-
-def _blocks(queries: DataFrame, size: int) -> Iterator[list]:
-    """The queries in blocks of a fixed size; the driver holds one block at a time."""
-    rows = queries.toLocalIterator()
-    while block := list(islice(rows, size)):
+    """Tokens between white space; ends are stripped first, so that no empty token arises."""
+    bare = strip(c)
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"\s+"))
+
+
+def _blocks(queries: DataFrame, payload: str, cells: int) -> Iterator[list]:
+    """The queries in blocks of bounded count and size; the driver holds one block at a time."""
+    block, size = [], 0
+    for row in queries.toLocalIterator():
+        if block and (len(block) == QUERY_BLOCK or size + len(row[payload]) > cells):
+            yield block
+            block, size = [], 0
+        block.append(row)
+        size += len(row[payload])
+    if block:
         yield block
 
 
@@ -93,7 +102,7 @@ def bm25_topk(
     spark = docs.sparkSession
     asked = queries.select(col(query_id).cast("bigint").alias("id"), tokens(col(query_text)).alias("terms"))
     out, mean = spark.createDataFrame([], HIT_SCHEMA), None
-    for block in _blocks(asked, QUERY_BLOCK):
+    for block in _blocks(asked, "terms", QUERY_WORDS):
         words = sorted({t for row in block for t in row["terms"]})
         if not words:
             continue
@@ -122,12 +131,13 @@ def _score_block(corpus: DataFrame, block: list, vocab: list[str], weights: dict
             if t in place:
                 matrix[place[t], q] += weights[t]
     query_ids = [row["id"] for row in block]
+    step = max(1, min(DOC_BLOCK, DOC_CELLS // len(vocab))) if vocab else DOC_BLOCK
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held = pa.array(vocab, pa.string()), None
         for batch in batches:
-            for start in range(0, batch.num_rows, DOC_BLOCK):
-                part = batch.slice(start, DOC_BLOCK)
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 lists = part.column(1).cast(pa.list_(pa.string()))
                 length = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
@@ -156,7 +166,7 @@ def vector_topk(
     rows = vectors.select(col(vector_id).cast("bigint").alias("doc_id"), col(vector).cast("array<double>").alias("v"))
     asked = queries.select(col(query_id).cast("bigint").alias("id"), col(query_vector).cast("array<double>").alias("v"))
     out = vectors.sparkSession.createDataFrame([], HIT_SCHEMA)
-    for block in _blocks(asked, QUERY_BLOCK):
+    for block in _blocks(asked, "v", 1_000_000):
         out = out.unionAll(_nearest_block(rows, block, k))
     return _top(out, k)
 
