@@ -96,11 +96,14 @@ def train_baseline(df: DataFrame, target: str, kind: str | None = None) -> Basel
     frame = rows.withColumn("_test", F.pmod(F.xxhash64(F.lit(SEED), *plain), F.lit(4)) == 0)
     frame = frame.select(*[col(c) for c in features], col(target).alias("_target"), "_test")
     frame, stages, inputs = feature_stages(frame, features)
+    classes = 0
     if kind == "classification":
         if rows.select(col(target)).distinct().limit(2).count() < 2:
             raise NotTrainable("the target has one class only")
+        # Labels are indexed over all rows: a class may occur on one side of the split only.
         frame = frame.withColumn("_target", F.col("_target").cast("string"))
-        stages.insert(0, StringIndexer(inputCol="_target", outputCol="label", handleInvalid="keep"))
+        index = StringIndexer(inputCol="_target", outputCol="label").fit(frame)
+        frame, classes = index.transform(frame), len(index.labels)
         stages.append(RandomForestClassifier(numTrees=TREES, seed=SEED))
     else:
         frame = frame.withColumn("label", F.col("_target").cast("double"))
@@ -108,7 +111,7 @@ def train_baseline(df: DataFrame, target: str, kind: str | None = None) -> Basel
     train, test = frame.filter(~F.col("_test")), frame.filter("_test")
     model = Pipeline(stages=stages).fit(train)
     scored = model.transform(test)
-    metrics = _metrics(scored, kind, len(model.stages[0].labelsArray[0]) if kind == "classification" else 0)
+    metrics = _metrics(scored, kind, classes)
     sizes = frame.agg(F.count_if(~F.col("_test")).alias("train"), F.count_if("_test").alias("test")).first()
     found = [("train_rows", float(sizes["train"])), ("test_rows", float(sizes["test"])), *metrics.items()]
     spark = df.sparkSession
@@ -123,8 +126,7 @@ def _metrics(scored: DataFrame, kind: str, classes: int) -> dict[str, float]:
     names = {"accuracy": "accuracy", "precision": "weightedPrecision", "recall": "weightedRecall", "f1_score": "f1"}
     out = {k: MulticlassClassificationEvaluator(metricName=m).evaluate(scored) for k, m in names.items()}
     if classes == 2:
-        out["roc_auc"] = BinaryClassificationEvaluator(metricName="areaUnderROC").evaluate(
-            scored.filter(F.col("label") < 2))
+        out["roc_auc"] = BinaryClassificationEvaluator(metricName="areaUnderROC").evaluate(scored)
     return out
 
 
