@@ -151,9 +151,11 @@ def fit_category_fill(df: DataFrame, columns: list[str], strategy: str = "mode")
     return {c: (modes.get(c, "Unknown"), n) for c, n in gaps.items()}
 
 
-def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``(column, value, n)`` for several columns from one scan; null is a value of its own."""
-    cells = [F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in columns]
+def value_counts(df: DataFrame, columns: list[str], null: str | None = None) -> DataFrame:
+    """``(column, value, n)`` for several columns from one scan; null is a value of its own, by the name given."""
+    cells = [
+        F.struct(F.lit(c).alias("column"), F.coalesce(col(c).cast("string"), F.lit(null)).alias("value")) for c in columns
+    ]
     return df.select(F.inline(F.array(*cells))).groupBy("column", "value").agg(F.count("*").alias("n"))
 
 

@@ -13,10 +13,11 @@ from datalumen.operators.inspection import duplicate_rows, inspect_columns
 from datalumen.operators.quantiles import quantiles
 
 
-def profile_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
+def profile_numeric(df: DataFrame, columns: list[str], approx: bool = False) -> DataFrame:
     """One row per numeric column: counts, moments, quartiles and distinct values.
 
     Moments, distinct counts and quartiles are three aggregations; each yields one row per column.
+    ``approx`` estimates the last two.
     """
     values = {c: measure(df, c) for c in columns}
     aggs = [F.count("*").alias("_rows")]
@@ -35,9 +36,10 @@ def profile_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     moments = tidy(df.agg(*aggs), entries, [
         "column", "status", "count", "valid_count", "missing_count", "missing_pct", "mean", "std", "min", "max",
         "skewness"])
-    quarts = quantiles(df, columns, [0.25, 0.5, 0.75])
+    quarts = quantiles(df, columns, [0.25, 0.5, 0.75], accuracy=10_000 if approx else None)
     q = [[F.lit(c), *[F.round(col(c)[k], 4) for k in range(3)], F.round(col(c)[2] - col(c)[0], 4)] for c in columns]
-    uniq = df.agg(*[F.count_distinct(v).alias(f"d{i}") for i, v in enumerate(values.values())])
+    distinct = F.approx_count_distinct if approx else F.count_distinct
+    uniq = df.agg(*[distinct(v).alias(f"d{i}") for i, v in enumerate(values.values())])
     d = [[F.lit(c), F.col(f"d{i}")] for i, c in enumerate(columns)]
     return moments.join(F.broadcast(tidy(quarts, q, ["column", "q25", "median", "q75", "iqr"])), "column").join(
         F.broadcast(tidy(uniq, d, ["column", "unique_count"])), "column")
@@ -45,8 +47,7 @@ def profile_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def profile_categorical(df: DataFrame, columns: list[str], top: int = 5) -> DataFrame:
     """The most frequent values of each column with the totals of the column; a null is the value "nan"."""
-    counts = value_counts(df, columns).withColumn("value", F.coalesce("value", F.lit("nan")))
-    counts = counts.groupBy("column", "value").agg(F.sum("n").alias("n"))
+    counts = value_counts(df, columns, null="nan")
     totals = counts.groupBy("column").agg(F.sum("n").alias("total_count"), F.count("*").alias("unique_count"))
     rare = counts.join(F.broadcast(totals), "column").groupBy("column").agg(
         hits(F.col("n") / F.col("total_count") < 0.01).alias("rare_count"))

@@ -6,25 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datalumen.functions.columns import col, join_null_safe, measure
-from datalumen.operators.ordered import ROWS_PER_TASK, numbered, small_groups
+from datalumen.operators.ordered import numbered, small_groups
+
+# Values that the exact percentiles of one group may hold in memory, over all columns.
+VALUES_PER_TASK = 4_000_000
 
 
 def quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None, limit: int = ROWS_PER_TASK,
-    known: int | None = None,
+    df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None, limit: int = VALUES_PER_TASK,
+    known: int | None = None, accuracy: int | None = None,
 ) -> DataFrame:
     """One row per group (one row without groups); each column holds its array of quantiles.
 
-    Spark's ``percentile`` keeps all distinct values of a group in one buffer, so it is used only when a
-    count shows that the groups are small. Beyond that, values are counted, ordered by slices, and the
-    two values around each quantile are picked out by their position.
+    Spark's ``percentile`` keeps all distinct values of a group in one buffer per column, so it is used
+    only when a count shows that they are few enough. Beyond that, values are counted, ordered by slices,
+    and the two values around each quantile are picked out by their position. ``accuracy`` asks for
+    estimates instead, with a rank error of one in ``accuracy``.
     """
     by = by or []
     keys = [col(k) for k in by]
     slim = df.select(*keys, *[measure(df, c).alias(c) for c in columns])
-    if small_groups(slim, by, limit, known):
+    if accuracy:
+        picks = [F.percentile_approx(col(c), [float(p) for p in probs], accuracy).alias(c) for c in columns]
+        return slim.groupBy(*keys).agg(*picks)
+    if small_groups(slim, by, max(1, limit // max(1, len(columns))), known):
         picks = [F.percentile(col(c), [float(p) for p in probs]).alias(c) for c in columns]
-        return slim.groupBy(*keys).agg(*picks) if by else slim.agg(*picks)
+        return slim.groupBy(*keys).agg(*picks)
 
     long = slim.select(
         *keys, F.inline(F.array(*[F.struct(F.lit(c).alias("_column"), col(c).alias("_value")) for c in columns]))
@@ -54,11 +61,11 @@ def quantiles(
     ]
     arrays = found.select(*[col(k) for k in groups], F.array(*values).alias("_values"))
     last = [F.max(F.when(F.col("_column") == c, F.col("_values"))).alias(c) for c in columns]
-    return arrays.groupBy(*keys).agg(*last) if by else arrays.agg(*last)
+    return arrays.groupBy(*keys).agg(*last)
 
 
 def fitted_quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], limit: int = ROWS_PER_TASK, known: int | None = None
+    df: DataFrame, columns: list[str], probs: list[float], limit: int = VALUES_PER_TASK, known: int | None = None
 ) -> dict:
     """Quantiles of the whole frame as ``{column: [values]}``, to be used as constants."""
     if not columns:

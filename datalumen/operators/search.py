@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from datalumen.functions import fixed
 from datalumen.functions.columns import any_of, col, strip
+from datalumen.session import checkpointed
 
 # Chunk sizes and ranking constants.
 CHUNK = 3000
@@ -102,7 +103,10 @@ def bm25_topk(
     spark = docs.sparkSession
     asked = queries.select(col(query_id).cast("bigint").alias("id"), tokens(col(query_text)).alias("terms"))
     out, mean = spark.createDataFrame([], HIT_SCHEMA), None
-    for block in _blocks(asked, "terms", QUERY_WORDS):
+    for number, block in enumerate(_blocks(asked, "terms", QUERY_WORDS)):
+        if number == 1:
+            # More than one block: the counts are written down once instead of being counted per block.
+            df = checkpointed(df)
         words = sorted({t for row in block for t in row["terms"]})
         if not words:
             continue

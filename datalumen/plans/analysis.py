@@ -47,7 +47,7 @@ def analyze(spark: SparkSession, source: str | DataFrame, options: AnalysisOptio
     meta = inspection.meta_from_rows(inspected.collect(), raw.columns)
     result = cleaning.clean(raw, meta, options.cleaning)
     clean, roles = result.cleaned, result.meta
-    unclipped = cleaning.CleaningPlan(**{**vars(result.plan), "fences": {}}).apply(raw)
+    unclipped = cleaning.CleaningPlan(**{**vars(result.plan), "fences": {}}).finish_cells(result.kept)
     base = clean if options.kpi_on_clipped else unclipped
 
     numbers = [c for c in roles.numerical_columns if c in clean.columns]
@@ -61,7 +61,7 @@ def analyze(spark: SparkSession, source: str | DataFrame, options: AnalysisOptio
         "charts": charts.recommend_charts(clean, roles),
     }
     if numbers:
-        out["numeric"] = profiling.profile_numeric(clean, numbers)
+        out["numeric"] = profiling.profile_numeric(clean, numbers, options.approx)
         out["anomalies"] = exploration.anomaly_iqr(clean, numbers)
         out["mad"] = exploration.anomaly_mad(clean, numbers)
         out["confidence"] = hypothesis.mean_ci(clean, numbers)

@@ -64,3 +64,14 @@ def test_quantiles_by_position_equal_percentile(rows, by):
     flat = lambda d: d.select(*by, *[F.round(F.col(c)[i], 9).alias(f"{c}{i}") for c in ("v", "w") for i in range(len(probs))])
     same(flat(sliced), flat(plain))
     assert not math.isnan(flat(plain).first()[len(by)])
+
+
+def test_estimated_quantiles_are_near(rows):
+    exact = quantiles(rows, ["v"], [0.25, 0.5], ["g"]).orderBy("g").collect()
+    near = quantiles(rows, ["v"], [0.25, 0.5], ["g"], accuracy=10_000).orderBy("g").collect()
+    assert all(abs(a["v"][i] - b["v"][i]) <= 0.25 for a, b in zip(exact, near) for i in (0, 1))
+
+
+def test_average_rank_of_both_ways(rows):
+    few = ranked(rows, [], "v", limit=20).select("id", "average_rank")
+    same(few, ranked(rows, [], "v").select("id", "average_rank"))
