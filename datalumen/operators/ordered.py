@@ -142,7 +142,7 @@ def ranked(
     """
     if small_groups(df, by, limit, known):
         return _ranked_by_window(df, by, value, descending)
-    counts = df.groupBy(*[col(k) for k in by], col(value)).agg(F.count("*").alias("_n"))
+    counts = checkpointed(df.groupBy(*[col(k) for k in by], col(value)).agg(F.count("*").alias("_n")))
     order = [F.desc(value) if descending else F.asc(value)]
     placed = numbered(counts, by, order, "_dense", {"_upto": "_n"}, limit)
     totals = counts.groupBy(*[col(k) for k in by]).agg(F.sum("_n").alias("_total"))

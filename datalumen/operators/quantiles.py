@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from datalumen.functions.columns import col, join_null_safe, measure
 from datalumen.operators.ordered import numbered, small_groups
+from datalumen.session import checkpointed
 
 # Values that the exact percentiles of one group may hold in memory, over all columns.
 VALUES_PER_TASK = 4_000_000
@@ -37,7 +38,8 @@ def quantiles(
         *keys, F.inline(F.array(*[F.struct(F.lit(c).alias("_column"), col(c).alias("_value")) for c in columns]))
     ).filter("_value IS NOT NULL")
     groups = [*by, "_column"]
-    counts = long.groupBy(*[col(k) for k in groups], "_value").agg(F.count("*").alias("_n"))
+    # Written down once: numbering reads the counts several times, the table itself only here.
+    counts = checkpointed(long.groupBy(*[col(k) for k in groups], "_value").agg(F.count("*").alias("_n")))
     placed = numbered(counts, groups, [F.asc("_value")], "_rn", {"_upto": "_n"}, limit)
     totals = counts.groupBy(*[col(k) for k in groups]).agg(F.sum("_n").alias("_total"))
     placed = join_null_safe(placed, totals, groups)
