@@ -92,14 +92,14 @@ f AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)"""
 
 @query("outlier_clip", f"""
 WITH {DIRTY_CTE}, {FENCES} SELECT o_orderkey, CASE WHEN price IS NOT NULL THEN
-  round(least(greatest(price, (SELECT lo FROM f)), (SELECT hi FROM f)), 4) END AS price FROM d""")
+  round(least(greatest(price, (SELECT lo FROM f)), (SELECT hi FROM f)), 6) END AS price FROM d""")
 def outlier_clip(t: Tables) -> DataFrame:
-    return cleaning.outlier_clip(t.dirty, ["price"]).select("o_orderkey", F.round("price", 4).alias("price"))
+    return cleaning.outlier_clip(t.dirty, ["price"]).select("o_orderkey", F.round("price", 6).alias("price"))
 
 
 @query("outlier_report", f"""
 WITH {DIRTY_CTE}, {FENCES} SELECT 'price' AS "column", 'iqr' AS method, count(price) AS valid_count,
-  count_if(price < (SELECT lo FROM f) OR price > (SELECT hi FROM f)) AS outlier_count,
+  CAST(count_if(price < (SELECT lo FROM f) OR price > (SELECT hi FROM f)) AS BIGINT) AS outlier_count,
   round(count_if(price < (SELECT lo FROM f) OR price > (SELECT hi FROM f)) * 100.0 / count(price), 1) AS outlier_pct,
   round((SELECT lo FROM f), 2) AS lower_fence, round((SELECT hi FROM f), 2) AS upper_fence FROM d""")
 def outlier_report(t: Tables) -> DataFrame:
@@ -128,17 +128,17 @@ def cleaned(t: Tables) -> cleaning.CleaningResult:
 
 
 @query("clean_full", f"""
-WITH {STEPS} SELECT o_orderkey, o_custkey, priority, round(price, 4) AS price, round(price_txt, 4) AS price_txt, gender,
+WITH {STEPS} SELECT o_orderkey, o_custkey, priority, round(price, 6) AS price, round(price_txt, 6) AS price_txt, gender,
   CAST(order_day AS VARCHAR) AS order_day, const_col FROM done""")
 def clean_full(t: Tables) -> DataFrame:
     out = cleaned(t).cleaned
     return out.withColumns({
-        "price": F.round("price", 4), "price_txt": F.round("price_txt", 4),
+        "price": F.round("price", 6), "price_txt": F.round("price_txt", 6),
         "order_day": F.col("order_day").cast("date").cast("string")})
 
 
 LOG = f"""
-SELECT CAST(row_number() OVER (ORDER BY k) AS INT) AS step, issue, "column", records_affected FROM (
+SELECT CAST(row_number() OVER (ORDER BY k) AS INT) AS step, issue, "column", CAST(records_affected AS BIGINT) AS records_affected FROM (
   SELECT 1 AS k, 'formatted numbers' AS issue, 'price_txt' AS "column", (SELECT count(price_txt) FROM cells) AS records_affected
   UNION ALL SELECT 2, 'white space', 'priority', (SELECT count_if(priority <> {bare("priority")}) FROM d)
   UNION ALL SELECT 3, 'placeholders', 'priority', (SELECT count(*) FROM d WHERE priority = 'N/A')

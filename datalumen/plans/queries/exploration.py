@@ -134,7 +134,7 @@ def anomaly_iqr(t: Tables) -> DataFrame:
 @query("anomaly_mad", f"""
 WITH {DIRTY_CTE}, m AS (SELECT median(price) AS m FROM d), a AS (SELECT median(abs(price - m)) AS a FROM d, m)
 SELECT 'price' AS "column", count(price) AS valid_count, round(any_value(m), 4) AS median, round(any_value(a), 4) AS mad,
-  count_if(0.6745 * abs(price - m) / a > 3.5) AS mad_outlier_count FROM d, m, a""")
+  CAST(count_if(0.6745 * abs(price - m) / a > 3.5) AS BIGINT) AS mad_outlier_count FROM d, m, a""")
 def anomaly_mad(t: Tables) -> DataFrame:
     return exploration.anomaly_mad(t.dirty, ["price"])
 
@@ -189,7 +189,7 @@ j AS (SELECT *, l_extendedprice AS v, l_extendedprice BETWEEN q1 - 1.5 * (q3 - q
   FROM lineitem JOIN q USING (l_returnflag))
 SELECT l_returnflag, count(*) AS n, round(any_value(q1), 4) AS q1, round(any_value(median), 4) AS median,
   round(any_value(q3), 4) AS q3, min(CASE WHEN inside THEN v END) AS whisker_low,
-  max(CASE WHEN inside THEN v END) AS whisker_high, count_if(NOT inside) AS outliers FROM j GROUP BY 1""")
+  max(CASE WHEN inside THEN v END) AS whisker_high, CAST(count_if(NOT inside) AS BIGINT) AS outliers FROM j GROUP BY 1""")
 def box_stats(t: Tables) -> DataFrame:
     box = charts.box_stats(t.lineitem, "l_returnflag", "l_extendedprice")
     return box.withColumns({c: F.round(c, 4) for c in ("q1", "median", "q3")})

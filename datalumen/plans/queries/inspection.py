@@ -44,7 +44,7 @@ def column_facts(c: str, kind: str) -> str:
     text = kind == "string"
     return f"""
 SELECT '{c}' AS "column", '{kind}' AS raw_type, count(*) AS total_count, count(*) - count({c}) AS missing_count,
-  {f"count_if(lower({bare(c)}) IN ({words(fixed.PLACEHOLDERS)}))" if text else "CAST(0 AS BIGINT)"} AS null_like_count,
+  CAST({f"count_if(lower({bare(c)}) IN ({words(fixed.PLACEHOLDERS)}))" if text else "0"} AS BIGINT) AS null_like_count,
   count(DISTINCT {c}) AS unique_count,
   count_if(lower(CAST({c} AS VARCHAR)) IN ({words(fixed.BOOLEAN_WORDS)})) AS bools,
   {rate(day_test(c), c) if text else 0.0} AS days, {rate(number_test(c), c) if text else 1.0} AS numbers FROM d"""
@@ -157,7 +157,7 @@ c AS (SELECT "column", value, count(*) AS n FROM v GROUP BY 1, 2),
 s AS (SELECT "column", sum(n) AS total, count(*) AS levels FROM c GROUP BY 1),
 r AS (SELECT c."column", count_if(n * 1.0 / total < 0.01) AS rare FROM c JOIN s USING ("column") GROUP BY 1)
 SELECT "column", rank, value, n AS "count", round(n * 100.0 / total, 2) AS pct, CAST(total AS BIGINT) AS total_count,
-  levels AS unique_count, rare AS rare_count
+  levels AS unique_count, CAST(rare AS BIGINT) AS rare_count
 FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS rank FROM c) q
 JOIN s USING ("column") JOIN r USING ("column") WHERE rank <= 5""")
 def profile_categorical(t: Tables) -> DataFrame:
@@ -166,7 +166,7 @@ def profile_categorical(t: Tables) -> DataFrame:
 
 @query("profile_datetime", """
 SELECT 'o_orderdate' AS "column", count(*) AS total_count, count(o_orderdate) AS valid_count,
-  count(*) - count(o_orderdate) AS missing_count, 0.0 AS missing_pct, CAST(min(o_orderdate) AS VARCHAR) AS min_date,
+  count(*) - count(o_orderdate) AS missing_count, CAST(0 AS DOUBLE) AS missing_pct, CAST(min(o_orderdate) AS VARCHAR) AS min_date,
   CAST(max(o_orderdate) AS VARCHAR) AS max_date, datesub('day', min(o_orderdate), max(o_orderdate)) AS date_range_days
 FROM orders""")
 def profile_datetime(t: Tables) -> DataFrame:

@@ -112,7 +112,7 @@ def kpi_sales(t: Tables) -> DataFrame:
 
 
 KPI_CUSTOMERS = """
-SELECT count(*) AS unique_customers, count_if(n > 1) AS repeat_customers,
+SELECT count(*) AS unique_customers, CAST(count_if(n > 1) AS BIGINT) AS repeat_customers,
   round(count_if(n > 1) * 100.0 / count(*), 2) AS repeat_rate, round(avg(n), 2) AS avg_orders_per_customer
 FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)"""
 
@@ -123,8 +123,8 @@ def kpi_customers(t: Tables) -> DataFrame:
 
 
 KPI_RETURNS = """
-SELECT count_if(l_returnflag = 'R') AS return_count, round(count_if(l_returnflag = 'R') * 100.0 / count(*), 2) AS return_rate,
-  count_if(l_returnflag <> 'R') AS fulfilled FROM lineitem"""
+SELECT CAST(count_if(l_returnflag = 'R') AS BIGINT) AS return_count, round(count_if(l_returnflag = 'R') * 100.0 / count(*), 2) AS return_rate,
+  CAST(count_if(l_returnflag <> 'R') AS BIGINT) AS fulfilled FROM lineitem"""
 
 
 @query("kpi_returns", KPI_RETURNS)
