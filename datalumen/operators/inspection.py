@@ -16,6 +16,9 @@ from datalumen.functions.columns import (
 )
 
 
+SCREEN_ERROR = 0.02
+
+
 def _usable(df: DataFrame) -> list[T.StructField]:
     return [f for f in df.schema if not is_nested(f)]
 
@@ -63,12 +66,11 @@ def missing_by_column(df: DataFrame) -> DataFrame:
         share(F.col("missing_count") + F.col("null_like_count"), F.col("total_count")).alias("missing_pct"))
 
 
-def distinct_by_column(df: DataFrame, approx: bool = False) -> DataFrame:
+def distinct_by_column(df: DataFrame) -> DataFrame:
     """Distinct non-null values of every column and their share of the rows."""
     fields = _usable(df)
-    count = F.approx_count_distinct if approx else F.count_distinct
     values = [F.when(~missing(col(f.name), f), col(f.name)) for f in fields]
-    wide = df.agg(F.count("*").alias("_rows"), *[count(v).alias(f"_d_{i}") for i, v in enumerate(values)])
+    wide = df.agg(F.count("*").alias("_rows"), *[F.count_distinct(v).alias(f"_d_{i}") for i, v in enumerate(values)])
     entries = [
         [F.lit(f.name), F.col("_rows"), F.col(f"_d_{i}"), share(F.col(f"_d_{i}"), F.col("_rows"))]
         for i, f in enumerate(fields)
@@ -76,6 +78,28 @@ def distinct_by_column(df: DataFrame, approx: bool = False) -> DataFrame:
     return tidy(wide, entries, ["column", "total_count", "unique_count", "unique_pct"])
 
 
+def screened_distinct(df: DataFrame) -> DataFrame:
+    """Estimated distinct counts, with an exact count for the columns whose estimate is near a deciding threshold.
+
+    Exact counts of many columns shuffle every distinct value of every column; a role only changes near
+    a threshold, so far from it an estimate decides the same.
+    """
+    fields = _usable(df)
+    values = {f.name: F.when(~missing(col(f.name), f), col(f.name)) for f in fields}
+    row = df.agg(F.count("*").alias("_rows"), *[
+        F.approx_count_distinct(v, SCREEN_ERROR).alias(f"_d_{i}") for i, v in enumerate(values.values())]).first()
+    rows = row["_rows"]
+    counts = {f.name: row[f"_d_{i}"] for i, f in enumerate(fields)}
+    marks = [1, 2, fixed.CATEGORY_LEVELS, fixed.CATEGORY_RATIO * rows, fixed.HIGH_CARDINALITY_PCT / 100 * rows, rows]
+    close = [c for c, n in counts.items() if any(abs(n - m) <= max(2.0, 5 * SCREEN_ERROR * m) for m in marks)]
+    if close:
+        exact = df.agg(*[F.count_distinct(values[c]).alias(f"_e_{i}") for i, c in enumerate(close)]).first()
+        counts |= {c: exact[f"_e_{i}"] for i, c in enumerate(close)}
+    out = df.sparkSession.createDataFrame(
+        [(c, rows, min(n, rows)) for c, n in counts.items()], "column string, total_count bigint, unique_count bigint")
+    return out.withColumn("unique_pct", share(F.col("unique_count"), F.col("total_count")))
+
+
 def _rate_by_text_column(df: DataFrame, tests: dict[str, Callable[[Column], Column]]) -> DataFrame:
     fields = [f for f in df.schema if is_text(f)]
     if not fields:
@@ -129,7 +153,7 @@ def inspect_columns(df: DataFrame, approx: bool = False) -> DataFrame:
     """One row per column: type, role, missing and distinct counts, flags, personal data.
 
     Value tests run over all values instead of the first few, since a distributed table has no first rows.
-    With ``approx`` the distinct counts are estimates; key candidates then need ``pk_candidates``.
+    With ``approx`` the distinct counts are estimates wherever they do not decide a role.
     """
     fields = _usable(df)
     if not fields:
@@ -146,7 +170,7 @@ def inspect_columns(df: DataFrame, approx: bool = False) -> DataFrame:
     stats = _named(stats, fields).withColumns({
         "raw_type": F.array(*[F.lit(f.dataType.simpleString()) for f in fields])[F.col("position")],
         "_kind": F.array(*[F.lit(k) for k in kinds])[F.col("position")]})
-    counts = distinct_by_column(df, approx).select("column", "unique_count")
+    counts = (screened_distinct(df) if approx else distinct_by_column(df)).select("column", "unique_count")
     return _with_roles(stats.join(F.broadcast(counts), "column"))
 
 

@@ -125,12 +125,13 @@ def set_union(t: Tables) -> DataFrame:
 
 @query("set_intersect", "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer")
 def set_intersect(t: Tables) -> DataFrame:
-    return t.orders.select(F.col("o_custkey").alias("k")).intersect(t.customer.select("c_custkey"))
+    buyers = t.orders.select(F.col("o_custkey").alias("k")).distinct()
+    return buyers.intersect(t.customer.select("c_custkey"))
 
 
 @query("set_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
 def set_except(t: Tables) -> DataFrame:
-    return t.customer.select(F.col("c_custkey").alias("k")).subtract(t.orders.select("o_custkey"))
+    return t.customer.select(F.col("c_custkey").alias("k")).subtract(t.orders.select("o_custkey").distinct())
 
 
 @query("agg_having", """

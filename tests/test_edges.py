@@ -28,9 +28,13 @@ def test_personal_data(spark):
     assert found == {"m": "email", "s": "ssn", "p": "phone"}
 
 
-def test_approximate_distinct_counts(sales):
-    rows = {r["column"]: r["unique_count"] for r in inspection.inspect_columns(sales, approx=True).collect()}
-    assert rows["product_category"] == 3
+def test_estimates_give_the_same_roles(sales, tables):
+    for df in (sales, tables["orders"], tables["documents"].drop("text"), tables["part"]):
+        exact = {r["column"]: (r["role"], r["is_key_candidate"], r["is_constant"], r["is_high_cardinality"])
+                 for r in inspection.inspect_columns(df).collect()}
+        near = {r["column"]: (r["role"], r["is_key_candidate"], r["is_constant"], r["is_high_cardinality"])
+                for r in inspection.inspect_columns(df, approx=True).collect()}
+        assert near == exact
 
 
 def test_profiles_of_tiny_columns(spark):
