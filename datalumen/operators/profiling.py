@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from datalumen.functions.columns import (
-    adjusted_skew, col, hits, is_nested, is_text, measure, missing, parsed_date, share, tidy,
+    adjusted_skew, col, hits, is_text, measure, parsed_date, share, tidy,
 )
 from datalumen.operators.cleaning import value_counts
 from datalumen.operators.inspection import duplicate_rows, inspect_columns

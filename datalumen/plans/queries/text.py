@@ -93,15 +93,24 @@ def flag_external(t: Tables) -> DataFrame:
 ANCHOR = r"""(?is)<a[^>]+href=["'']([^"'']+)["''][^>]*>(.*?)</a>"""
 
 
-@query("page_links", rf"""
+def links_sql(title: str) -> str:
+    """The first five links of each page that have a title; ``title`` is SQL over the raw title."""
+    return rf"""
 WITH a AS (SELECT page_id, regexp_extract_all(html, '{ANCHOR}', 1)[1:5] AS links, regexp_extract_all(html, '{ANCHOR}', 2)[1:5] AS titles FROM pages),
-r AS (SELECT page_id, generate_subscripts(links, 1) AS i, trim(unnest(links)) AS link,
-  trim(regexp_replace(regexp_replace(unnest(titles), '(?s)<.*?>', ' ', 'g'), '\s+', ' ', 'g')) AS title FROM a)
-SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS rank, link, title, '' AS snippet FROM r WHERE title <> ''""")
+u AS (SELECT page_id, generate_subscripts(links, 1) AS i, trim(unnest(links)) AS link, unnest(titles) AS raw FROM a),
+r AS (SELECT page_id, i, link, trim(regexp_replace(regexp_replace({title}, '(?s)<.*?>', ' ', 'g'), '\s+', ' ', 'g')) AS title FROM u)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS rank, link, title, '' AS snippet FROM r WHERE title <> ''"""
+
+
+# The entities that occur in markup; the operator itself knows all of them.
+DECODED = "replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+
+
+@query("page_links", links_sql("raw"))
 def page_links(t: Tables) -> DataFrame:
     return pages.page_links(t.pages, "page_id", "html", entities=False)
 
 
-@query("page_links_clean")
+@query("page_links_clean", links_sql(DECODED))
 def page_links_clean(t: Tables) -> DataFrame:
     return pages.page_links(t.pages, "page_id", "html")
