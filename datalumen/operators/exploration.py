@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from datalumen.functions.columns import col, hits, is_text, join_null_safe, measure, parsed_date, share, tidy
+from datalumen.functions.columns import any_of, col, hits, is_text, join_null_safe, measure, parsed_date, share, tidy
 from datalumen.operators.cleaning import outside
 from datalumen.operators.ordered import ranked
 from datalumen.operators.quantiles import fitted_quantiles, quantiles
@@ -18,7 +18,8 @@ PAIR = ["var1", "var2"]
 
 def complete_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """The numeric columns as doubles, rows with a gap left out."""
-    return df.select(*[measure(df, c).alias(c) for c in columns]).dropna(subset=columns)
+    numbers = df.select(*[measure(df, c).alias(c) for c in columns])
+    return numbers.filter(~any_of([col(c).isNull() for c in columns]))
 
 
 def _pair_correlations(numbers: DataFrame, columns: list[str], name: str) -> DataFrame:

@@ -47,9 +47,14 @@ def _cells(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
 
 
 def _named(stats: DataFrame, fields: list[T.StructField]) -> DataFrame:
-    """Column names in place of column numbers; the list of names is a constant."""
+    """One row per column with its name, also for a table without rows; the list of names is a constant."""
     names = F.array(*[F.lit(f.name) for f in fields])
-    return stats.withColumn("column", names[F.col("position")])
+    spine = stats.sparkSession.range(len(fields)).select(
+        F.col("id").cast("int").alias("position"), names[F.col("id").cast("int")].alias("column"))
+    counts = [c for c in stats.columns if c != "position"]
+    # Never more rows than columns.
+    joined = spine.join(F.broadcast(stats), "position", "left")
+    return joined.select("position", "column", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
 
 
 def missing_by_column(df: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def problem_type(df: DataFrame, target: str) -> str:
     field = df.schema[target]
     if is_text(field) or isinstance(field.dataType, T.BooleanType):
         return "classification"
-    few = df.select(col(target)).dropna().distinct().limit(11).count() <= 10
+    few = df.select(col(target)).filter(col(target).isNotNull()).distinct().limit(11).count() <= 10
     return "classification" if few else "regression"
 
 
@@ -83,7 +83,7 @@ def train_baseline(df: DataFrame, target: str, kind: str | None = None) -> Basel
 
     A hash of the row decides its side, so the split survives retries and is even within each class.
     """
-    rows = df.dropna(subset=[target])
+    rows = df.filter(col(target).isNotNull())
     n = rows.count()
     if n < MIN_ROWS:
         raise NotTrainable(f"fewer than {MIN_ROWS} rows")
@@ -94,8 +94,10 @@ def train_baseline(df: DataFrame, target: str, kind: str | None = None) -> Basel
     plain = [col(f.name) for f in rows.schema if is_numeric(f) or is_text(f)]
     # The side is fixed on the raw row, before columns are cast or dropped.
     frame = rows.withColumn("_test", F.pmod(F.xxhash64(F.lit(SEED), *plain), F.lit(4)) == 0)
-    frame = frame.select(*[col(c) for c in features], col(target).alias("_target"), "_test")
-    frame, stages, inputs = feature_stages(frame, features)
+    # The stages know the columns by number, since they take no names with dots.
+    short = [f"c{i}" for i in range(len(features))]
+    frame = frame.select(*[col(c).alias(s) for c, s in zip(features, short)], col(target).alias("_target"), "_test")
+    frame, stages, inputs = feature_stages(frame, short)
     classes = 0
     if kind == "classification":
         if rows.select(col(target)).distinct().limit(2).count() < 2:
@@ -117,7 +119,7 @@ def train_baseline(df: DataFrame, target: str, kind: str | None = None) -> Basel
     spark = df.sparkSession
     return Baseline(
         kind, model, spark.createDataFrame(found, "metric string, value double").withColumn("value", F.round("value", 4)),
-        spark.createDataFrame(_importance(model, inputs), "feature string, importance double, importance_pct double"))
+        spark.createDataFrame(_importance(model, inputs, features), "feature string, importance double, importance_pct double"))
 
 
 def _metrics(scored: DataFrame, kind: str, classes: int) -> dict[str, float]:
@@ -130,7 +132,7 @@ def _metrics(scored: DataFrame, kind: str, classes: int) -> dict[str, float]:
     return out
 
 
-def _importance(model: PipelineModel, inputs: list[str], top: int = 5) -> list[tuple[str, float, float]]:
+def _importance(model: PipelineModel, inputs: list[str], features: list[str], top: int = 5) -> list[tuple[str, float, float]]:
     """Importances summed back to their source column, the best five with their share among the five."""
     forest, assembler = model.stages[-1], model.stages[-2]
     sizes = []
@@ -144,7 +146,7 @@ def _importance(model: PipelineModel, inputs: list[str], top: int = 5) -> list[t
     values = forest.featureImportances.toArray()
     totals, start = {}, 0
     for name, size in zip(inputs, sizes):
-        source = name.split("_", 1)[1]
+        source = features[int(name.split("_c", 1)[1])]
         totals[source] = totals.get(source, 0.0) + float(values[start:start + size].sum())
         start += size
     best = sorted(totals.items(), key=lambda kv: (-kv[1], kv[0]))[:top]

@@ -143,7 +143,7 @@ def ranked(
     if small_groups(df, by, limit, known):
         return _ranked_by_window(df, by, value, descending)
     counts = checkpointed(df.groupBy(*[col(k) for k in by], col(value)).agg(F.count("*").alias("_n")))
-    order = [F.desc(value) if descending else F.asc(value)]
+    order = [col(value).desc() if descending else col(value).asc()]
     placed = numbered(counts, by, order, "_dense", {"_upto": "_n"}, limit)
     totals = counts.groupBy(*[col(k) for k in by]).agg(F.sum("_n").alias("_total"))
     placed = join_null_safe(placed, totals, by) if by else placed.withColumn("_total", totals.scalar())
@@ -162,7 +162,7 @@ def ranked(
 
 def _ranked_by_window(df: DataFrame, by: list[str], value: str, descending: bool) -> DataFrame:
     keys = [col(k) for k in by]
-    window = Window.partitionBy(*keys).orderBy(F.desc(value) if descending else F.asc(value))
+    window = Window.partitionBy(*keys).orderBy(col(value).desc() if descending else col(value).asc())
     total = F.count("*").over(Window.partitionBy(*keys))
     out = df.select(
         *[col(c) for c in df.columns], F.rank().over(window).cast("bigint").alias("rank"),

@@ -33,4 +33,4 @@ def sample_head(df: DataFrame, order: list[Column], columns: list[str], n: int =
 
 def top_rows(df: DataFrame, measure: str, ties: list[str], n: int = 20) -> DataFrame:
     """The rows with the largest values; ties are broken by further columns."""
-    return df.orderBy(F.desc(measure), *ties).limit(n)
+    return df.orderBy(col(measure).desc(), *[col(c) for c in ties]).limit(n)

@@ -51,7 +51,7 @@ def running_total_trend(df: DataFrame, time: str, value: str, window: int = 7) -
 
 def quartile_ntile(df: DataFrame, value: str, key: list[str], n: int = 4) -> DataFrame:
     """Every row with its quarter by descending value; ties are broken by the key."""
-    return tiles(df, n, [F.desc(value), *[F.asc(k) for k in key]], "quartile")
+    return tiles(df, n, [col(value).desc(), *[col(k).asc() for k in key]], "quartile")
 
 
 def quartile_cutpoints(df: DataFrame, value: str) -> DataFrame:
@@ -70,6 +70,6 @@ def running_total(df: DataFrame, by: list[str], order: list, value: str) -> Data
 def neighbours(df: DataFrame, by: list[str], order: list, value: str) -> DataFrame:
     """The value of the row before and after each row of its group, and the mean of seven rows."""
     return framed(df, by, order, {
-        "previous": lambda w: F.lag(value).over(w), "following": lambda w: F.lead(value).over(w),
-        "moving_avg": lambda w: F.avg(value).over(w.rowsBetween(-6, 0)),
+        "previous": lambda w: F.lag(col(value)).over(w), "following": lambda w: F.lead(col(value)).over(w),
+        "moving_avg": lambda w: F.avg(col(value)).over(w.rowsBetween(-6, 0)),
     }, before=6, after=1)

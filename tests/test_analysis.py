@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from datalumen.operators.catalog import classify_tables, table_catalog
 from datalumen.plans.analysis import AnalysisOptions, analyze
@@ -40,3 +41,14 @@ def test_fitted_plan_on_a_stream(spark, sales, result, tmp_path):
     stream = spark.readStream.schema(sales.schema).parquet(str(tmp_path / "in"))
     out = streams.run_to_files(streams.clean_stream(stream, result.plan), "clean")
     assert out.count() == 31 and out.filter("customer_gender NOT IN ('Female', 'Male')").count() == 0
+
+
+def test_odd_names_and_nested_columns(spark, tables):
+    o = tables["orders"].limit(300)
+    df = o.select(
+        F.col("o_orderstatus").alias("order.status"), F.col("o_totalprice").alias("total price"), F.col("o_orderdate").alias("when.at"),
+        F.col("o_orderpriority").alias("prio`x"), (F.col("o_custkey") % 7).alias("n.items"), F.struct("o_custkey").alias("nest"),
+        F.array("o_custkey").alias("list"))
+    result = analyze(spark, df, AnalysisOptions(target="order.status"))
+    assert all(table.columns and table.count() >= 0 for table in result.tables.values())
+    assert result.tables["model_metrics"].count() == 6

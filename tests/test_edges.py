@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from datalumen.operators import charts, exploration, forecast, hypothesis, inspection, kpi, modeling, profiling
+from datalumen.operators import charts, cleaning, exploration, forecast, hypothesis, inspection, kpi, modeling, profiling
 
 
 def test_roles(sales):
@@ -177,3 +177,14 @@ def test_histogram_keeps_empty_bins_and_the_top_edge(spark):
     assert [r["count"] for r in charts.histogram(df, "v", 5).orderBy("bin").collect()] == [1, 0, 0, 0, 2]
     flat = spark.createDataFrame([(3.0,), (3.0,)], "v double")
     assert charts.histogram(flat, "v", 4).agg(F.sum("count")).first()[0] == 2
+
+
+def test_a_table_without_rows(spark):
+    df = spark.createDataFrame([], "a string, b double, c timestamp")
+    rows = inspection.inspect_columns(df).collect()
+    assert sorted((r["column"], r["inferred_type"], r["total_count"]) for r in rows) == [
+        ("a", "empty", 0), ("b", "empty", 0), ("c", "empty", 0)]
+    assert inspection.missing_by_column(df).count() == 3
+    assert inspection.duplicate_rows(df).first()["duplicate_pct"] == 0.0
+    assert profiling.profile_numeric(df, ["b"]).first()["status"] == "empty"
+    assert cleaning.clean(df, inspection.table_meta(df)).log.count() == 0
