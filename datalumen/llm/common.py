@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task; a longer text is handled alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 16
 
 _SPACE = np.ones(256, dtype=np.uint8)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = 0
