@@ -14,6 +14,7 @@ Null and empty texts are the closing id alone. Repeated rows are packed each. An
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from datalumen.llm.common import Sequences, Texts, documents, slices
+from datalumen.llm.common import SLICE_BYTES, Sequences, Texts, documents, slices
 from datalumen.session import checkpointed
 
 SIZE = 2048
 CLOSING = 0
 _GRID = 128
 _GROUPS = 1024
-_CACHED_WORDS = 300_000
+_CACHED_WORDS = 500_000
 
 # -- tokens ---------------------------------------------------------------------------------------------------------
 
@@ -69,7 +70,8 @@ class Encoder:
         self.letters = {i: letters[i] for i in range(256)}
 
     def _word(self, word: bytes) -> bytes:
-        ids = np.array([t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.letters))], dtype="<u4").tobytes()
+        ids = array("I", [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.letters))])
+        ids = ids.tobytes()
         if len(self.known) >= _CACHED_WORDS:
             self.known.clear()
         self.known[word] = ids
@@ -144,7 +146,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, with_ids: bool = False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
-        for texts in slices(batches):
+        for texts in slices(batches, limit=4 * SLICE_BYTES):
             rows = [(i, k, cut) for i, ids in enumerate(encode(texts)) for k, cut in enumerate(_cut(ids + closing, 4 * size))]
             yield pa.RecordBatch.from_arrays([
                 texts.rows.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())),
