@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task; a longer text is handled alone.
 SLICE_BYTES = 1 << 16
+#: Rows of an Arrow batch, where the session has no setting of its own; the default of 10,000 is too much for texts.
+BATCH_ROWS, _BATCH_SETTING = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _SPACE = np.ones(256, dtype=np.uint8)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = 0
@@ -143,8 +145,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at = to
 
 
+def small_batches(df: DataFrame) -> None:
+    """Let batches of rows with texts stay small."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING) == "10000":
+        conf.set(_BATCH_SETTING, BATCH_ROWS)
+
+
 def documents(df: DataFrame, *more: str) -> DataFrame:
     """``doc_id`` and ``text`` (and further text columns) of a table, so that other columns cannot clash."""
+    small_batches(df)
     return df.select(df["doc_id"].cast("bigint").alias("doc_id"), *[df[c].cast("string").alias(c) for c in ("text", *more)])
 
 

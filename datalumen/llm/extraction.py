@@ -17,7 +17,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from datalumen.llm.common import slices
+from datalumen.llm.common import slices, small_batches
 
 # Limits of the first pass, in characters and shares.
 SHORT, LONG, LINKS, STOP_LOW, STOP_HIGH = 70, 200, 0.33, 0.10, 0.30
@@ -210,5 +210,6 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts.rows.column("page_id"), texts.rows.column("url"), pa.array(found, pa.string()),
                 pa.array([len(x) for x in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
+    small_batches(pages)
     rows = pages.select(pages["page_id"].cast("bigint").alias("page_id"), *[pages[c].cast("string").alias(c) for c in ("url", "html")])
     return rows.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datalumen.llm.common import Texts, slices
+from datalumen.llm.common import Texts, slices, small_batches
 
 _ENCODINGS: dict[tuple[str, str], tuple] = {}
 
@@ -64,6 +64,7 @@ def section_tokens(docs: DataFrame, path: str, pattern: str, sections: str | Non
 
     ``sections`` names a column of ``array<struct<start, stop>>`` in characters (they may overlap or leave gaps); without it, lines are the sections.
     """
+    small_batches(docs)
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"),
                        *([F.col(sections).alias("sections")] if sections else []))
 
