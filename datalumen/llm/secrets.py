@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from datalumen.llm.common import SLICE_BYTES, documents, key, slices, unused
 from datalumen.session import checkpointed
 
-SAMPLE, CONFIDENCE, THRESHOLD, LONG = 300, 0.05, 1.0, 16
+SAMPLE, CONFIDENCE, THRESHOLD, LONG = 300, 0.05, 0.5, 16
 KINDS = ("assign", "access", "hex", "format")
 MASK = "[secret]"
 
