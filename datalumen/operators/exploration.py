@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import isnan
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,16 +27,26 @@ def _pair_correlations(numbers: DataFrame, columns: list[str], name: str) -> Dat
     pairs = list(combinations(columns, 2))
     if len(columns) <= WIDE:
         enough = F.count("*") >= 3
-        wide = numbers.agg(*[F.when(enough, F.corr(col(a), col(b))).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+
+        def pearson(a: str, b: str) -> Column:
+            """Null where a column does not vary."""
+            return F.try_divide(F.covar_pop(col(a), col(b)), F.stddev_pop(col(a)) * F.stddev_pop(col(b)))
+
+        wide = numbers.agg(*[F.when(enough, pearson(a, b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
         entries = [[F.lit(a), F.lit(b), F.round(F.col(f"r{i}"), 4)] for i, (a, b) in enumerate(pairs)]
         return tidy(wide, entries, [*PAIR, name])
     # Many columns: one Gram matrix instead of hundreds of pair aggregates; its size is columns squared.
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.stat import Correlation
 
-    vectors = VectorAssembler(inputCols=columns, outputCol="_v").transform(numbers).select("_v")
-    matrix = Correlation.corr(vectors, "_v", "pearson").first()[0].toArray()
-    rows = [(columns[i], columns[j], float(matrix[i, j])) for i, j in combinations(range(len(columns)), 2)]
+    rows = [(a, b, None) for a, b in pairs]
+    if numbers.limit(3).count() == 3:
+        named = {c: f"_{i}" for i, c in enumerate(columns)}
+        plain = numbers.select(*[col(c).alias(n) for c, n in named.items()])
+        vectors = VectorAssembler(inputCols=list(named.values()), outputCol="_v").transform(plain).select("_v")
+        matrix = Correlation.corr(vectors, "_v", "pearson").first()[0].toArray()
+        found = {(columns[i], columns[j]): float(matrix[i, j]) for i, j in combinations(range(len(columns)), 2)}
+        rows = [(*pair, None if isnan(r) else r) for pair, r in found.items()]
     out = numbers.sparkSession.createDataFrame(rows, f"var1 string, var2 string, {name} double")
     return out.withColumn(name, F.round(name, 4))
 
@@ -73,8 +84,8 @@ def _segments(df: DataFrame, categories: list[str], measures: list[str]) -> Data
     return df.select(F.inline(F.array(*cells)), *values).filter("segment IS NOT NULL")
 
 
-def segment_breakdown(df: DataFrame, categories: list[str], measures: list[str], caps: int = 3) -> DataFrame:
-    """Count, sum, mean, deviation and median of each measure per segment, for the first columns of each kind."""
+def segment_breakdown(df: DataFrame, categories: list[str], measures: list[str], caps: int | None = None) -> DataFrame:
+    """Count, sum, mean, deviation and median of each measure per segment; ``caps`` keeps only the first columns of each kind."""
     categories, measures = categories[:caps], measures[:caps]
     rows = _segments(df, categories, measures)
     keys = ["category", "segment"]
@@ -96,7 +107,7 @@ def segment_breakdown(df: DataFrame, categories: list[str], measures: list[str],
     return both.select(*keys, F.inline(F.array(*entries))).orderBy("category", "measure", F.desc("sum"), "segment")
 
 
-def segment_top_bottom(df: DataFrame, categories: list[str], measures: list[str], caps: int = 3) -> DataFrame:
+def segment_top_bottom(df: DataFrame, categories: list[str], measures: list[str], caps: int | None = None) -> DataFrame:
     """The segments with the highest and the lowest sum for each pair of columns."""
     categories, measures = categories[:caps], measures[:caps]
     sums = _segments(df, categories, measures).groupBy("category", "segment").agg(

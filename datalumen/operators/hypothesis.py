@@ -84,7 +84,7 @@ def chi_square(df: DataFrame, categories: list[str], max_levels: int | None = No
         "significant", F.col("p_value") < ALPHA)
 
 
-def anova_f(df: DataFrame, categories: list[str], measures: list[str], caps: int | None = 2) -> DataFrame:
+def anova_f(df: DataFrame, categories: list[str], measures: list[str], caps: int | None = None) -> DataFrame:
     """One-way analysis of variance for the categories with 3 to 10 levels; groups below 3 values are left out."""
     pair = ["category", "measure"]
     moments = group_moments(df, categories[:caps], measures[:caps])

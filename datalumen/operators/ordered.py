@@ -67,14 +67,17 @@ def numbered(
     before = Window.partitionBy(*[col(k) for k in by]).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = ["_rows", *[f"_sum_{new}" for new in sums]]
     offsets = totals.select(
-        *[col(k) for k in keys], *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in carried]
+        *[col(k) for k in keys], F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows"),
+        *[F.sum(c).over(before).alias(c) for c in carried[1:]]
     )
     within = Window.partitionBy(*[col(k) for k in keys]).orderBy(*order)
     upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = sliced.withColumn(name, F.row_number().over(within).cast("bigint"))
     local = local.withColumns({new: F.sum(col(m)).over(upto) for new, m in sums.items()})
     joined = join_null_safe(local, offsets, keys)
-    moved = {name: F.col(name) + F.col("_rows")} | {new: F.col(new) + F.col(f"_sum_{new}") for new in sums}
+    moved = {name: F.col(name) + F.col("_rows")} | {
+        # A total stays null only until the first value of the group, wherever the slices are cut.
+        new: F.coalesce(F.col(new) + F.col(f"_sum_{new}"), F.col(new), F.col(f"_sum_{new}")) for new in sums}
     return joined.withColumns(moved).drop("_slice", *carried)
 
 

@@ -63,7 +63,9 @@ def quantiles(
     ]
     arrays = found.select(*[col(k) for k in groups], F.array(*values).alias("_values"))
     last = [F.max(F.when(F.col("_column") == c, F.col("_values"))).alias(c) for c in columns]
-    return arrays.groupBy(*keys).agg(*last)
+    found = arrays.groupBy(*keys).agg(*last)
+    # Groups without any value are rows too, as on the small path.
+    return join_null_safe(slim.select(*keys).distinct(), found, by, how="left") if by else found
 
 
 def fitted_quantiles(

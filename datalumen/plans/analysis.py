@@ -18,8 +18,8 @@ from datalumen.sources.readers import load
 @dataclass(frozen=True)
 class AnalysisOptions:
     cleaning: cleaning.CleaningOptions = cleaning.CleaningOptions()
-    columns: int = 3
-    test_levels: int = 50
+    columns: int | None = None
+    test_levels: int | None = None
     periods: int = 6
     target: str | None = None
     roles: dict[str, str] = field(default_factory=dict)
@@ -53,7 +53,8 @@ def analyze(spark: SparkSession, source: str | DataFrame, options: AnalysisOptio
     numbers = [c for c in roles.numerical_columns if c in clean.columns]
     categories = list(roles.categorical_columns)
     dates = [c for c in roles.datetime_columns if not is_text(clean.schema[c])]
-    few = [c for c in categories if roles.unique_counts.get(c, 0) <= options.test_levels]
+    most = options.test_levels
+    few = [c for c in categories if most is None or roles.unique_counts.get(c, 0) <= most]
     out: dict[str, DataFrame] = {
         "columns": inspected, "quality": profiling.quality_score(raw, options.approx), "log": result.log,
         "validation": validation.before_after(raw, clean),
