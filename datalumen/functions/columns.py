@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from datalumen.functions import fixed
 
 PLAIN_NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
-FORMATTED_NUMBER = r"^\(?[+-]?[$£€¥₹]?\s*\d[\d,]*(\.\d+)?\s*%?\)?$"
+FORMATTED_NUMBER = (r"^\(?[+-]?[$£€¥₹]?\s*[+-]?\s*(\d{1,3}( \d{3})+(\.\d*)?|\d[\d,]*(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*%?\)?$")
 ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}:\d{1,2})?$"
 SLASH_DATE = r"^\d{1,4}/\d{1,2}/\d{1,4}$"
 SPACE = " \t\n\x0b\f\r"
@@ -55,6 +55,26 @@ def is_placeholder(c: Column) -> Column:
     return F.lower(strip(c)).isin(fixed.PLACEHOLDERS)
 
 
+def row_keys(df: DataFrame) -> list[Column]:
+    """Columns that tell rows apart; maps, which cannot be grouped, count as their sorted entries."""
+
+    def comparable(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.MapType):
+            return F.array_sort(F.transform(F.map_entries(c), lambda e: F.struct(
+                comparable(e["key"], kind.keyType).alias("k"), comparable(e["value"], kind.valueType).alias("v"))))
+        if isinstance(kind, T.ArrayType) and _holds_map(kind):
+            return F.transform(c, lambda x: comparable(x, kind.elementType))
+        if isinstance(kind, T.StructType) and _holds_map(kind):
+            return F.when(c.isNotNull(), F.struct(*[comparable(c[f.name], f.dataType).alias(f"f{i}") for i, f in enumerate(kind)]))
+        return c
+
+    return [comparable(col(f.name), f.dataType) for f in df.schema]
+
+
+def _holds_map(kind: T.DataType) -> bool:
+    return "map<" in kind.simpleString()
+
+
 def missing(c: Column, field: T.StructField) -> Column:
     """Null, or NaN in a floating column: both mean that no value is there."""
     if isinstance(field.dataType, (T.FloatType, T.DoubleType)):

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from datalumen.functions import fixed
 from datalumen.functions.columns import (
-    adjusted_skew, col, formatted_number, hits, is_placeholder, is_text, measure, missing, parsed_date, strip,
+    adjusted_skew, col, formatted_number, hits, is_placeholder, is_text, measure, missing, parsed_date, row_keys, strip,
     text_columns,
 )
 from datalumen.operators.inspection import TableMeta
@@ -77,8 +77,11 @@ def clean_nulls(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def clean_dedup(df: DataFrame) -> DataFrame:
     """One copy of every row. Copies are merged before the shuffle, so a big group of copies costs one row per task."""
-    keys = [f.name for f in df.schema if not isinstance(f.dataType, T.MapType)]
-    return df.dropDuplicates(keys)
+    keys = row_keys(df)
+    if "map<" not in df.schema.simpleString():
+        return df.dropDuplicates()
+    names = [f"_key_{i}" for i in range(len(keys))]
+    return df.withColumns(dict(zip(names, keys))).dropDuplicates(names).drop(*names)
 
 
 def label_columns(df: DataFrame, names: list[str] | None = None) -> dict[str, dict[str, str]]:
@@ -173,8 +176,10 @@ def _fill(df: DataFrame, fills: dict) -> DataFrame:
     new = {}
     for c, value in fills.items():
         f = df.schema[c]
-        if is_text(f):
+        if is_text(f) and isinstance(value, str):
             new[c] = F.coalesce(col(c), F.lit(value))
+        elif is_text(f):  # numbers held as text that were not converted: the filled column is numeric
+            new[c] = F.coalesce(measure(df, c), F.lit(float(value)))
         else:
             whole = isinstance(f.dataType, T.IntegralType) and float(value).is_integer()
             kept = F.when(~missing(col(c), f), col(c))

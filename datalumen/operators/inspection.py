@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from datalumen.functions import fixed
 from datalumen.functions.columns import (
     any_of, col, hits, is_datetime, is_nested, is_numeric, is_placeholder, is_text, loose_number, missing,
-    parsed_date, share, tidy,
+    parsed_date, row_keys, share, tidy,
 )
 
 
@@ -145,8 +145,8 @@ def _first_pii(rates: dict[str, Column]) -> Column:
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows, exact repeats of an earlier row, and their share."""
-    keys = [col(f.name) for f in df.schema if not isinstance(f.dataType, T.MapType)]
-    groups = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    groups = df.select(*[k.alias(f"_key_{i}") for i, k in enumerate(row_keys(df))])
+    groups = groups.groupBy(*groups.columns).agg(F.count("*").alias("_n"))
     out = groups.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("num_rows"),
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"),

@@ -8,15 +8,32 @@ from dataclasses import dataclass
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-# Words that a read-only query may not hold, and how it may start.
-FORBIDDEN = [
-    "DROP", "TRUNCATE", "DELETE", "ALTER", "UPDATE", "INSERT", "CREATE", "REPLACE",
-    "ATTACH", "DETACH", "GRANT", "REVOKE", "MERGE", "REFRESH", "CACHE", "UNCACHE", "LOAD",
-]
+# How a query may start, the commands that may follow a WITH or FROM clause, and functions that run other code.
 STARTS = ["SELECT", "WITH", "VALUES", "FROM"]
+COMMAND = r"\b(INSERT) +(?:INTO|OVERWRITE)\b|\b(DELETE) +FROM\b|\b(UPDATE) +\S+ +SET\b|\b(MERGE) +INTO\b"
 CALLS = ["reflect", "java_method", "try_reflect"]
 
-NOISE = re.compile(r"'(?:[^'\\\\]|\\\\.|'')*'|\"(?:[^\"\\\\]|\\\\.)*\"|--[^\n]*|/\*.*?\*/", re.S)
+TOKEN = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`(?:[^`]|``)*`|--[^\n]*|/\*|\w+|\s+|.", re.S)
+
+
+def _tokens(query: str) -> list[str]:
+    """The words and signs of a query: literals as two quotes, comments (nested ones too) left out, white space as one blank."""
+    out, at = [], 0
+    while at < len(query):
+        token = TOKEN.match(query, at)[0]
+        at += len(token)
+        if token == "/*":
+            depth = 1
+            while depth and at < len(query):
+                two = query[at:at + 2]
+                depth += {"/*": 1, "*/": -1}.get(two, 0)
+                at += 2 if two in ("/*", "*/") else 1
+            out.append(" ")
+        elif token[0] in "'\"" and len(token) > 1:
+            out.append("''")
+        else:
+            out.append(" " if token.startswith("--") or token.isspace() else token)
+    return out
 
 
 class ReadOnlyError(ValueError):
@@ -25,20 +42,22 @@ class ReadOnlyError(ValueError):
 
 def check_read_only(query: str) -> None:
     """Refuse anything but one SELECT-like statement. Text in literals and comments does not count."""
-    bare = NOISE.sub(lambda m: "''" if m.group(0)[0] in "'\"" else " ", query).strip().rstrip("; \n\t")
-    first = re.match(r"[(\s]*(\w+)", bare)
+    tokens = _tokens(query)
+    # Quoted names are no statement words, but they can call functions and name file formats.
+    bare = "".join("_" if t[0] == "`" else t for t in tokens).strip().rstrip("; ")
+    named = "".join(t[1:-1] if t[0] == "`" and t[1:-1].isidentifier() else t for t in tokens)
+    first = re.match(r"[( ]*(\w+)", bare)
     if not first or first.group(1).upper() not in STARTS:
         raise ReadOnlyError("only SELECT, WITH, VALUES and FROM queries are allowed")
     if ";" in bare:
         raise ReadOnlyError("one statement at a time")
-    # REPLACE is also a harmless string function when it is called.
-    word = re.search(r"\b(?!REPLACE\s*\()(" + "|".join(FORBIDDEN) + r")\b", bare, re.I)
+    word = re.search(COMMAND, bare, re.I)
     if word:
-        raise ReadOnlyError(f"{word.group(1).upper()} is not allowed in a read-only query")
-    call = re.search(r"\b(" + "|".join(CALLS) + r")\s*\(", bare, re.I)
+        raise ReadOnlyError(f"{word.group(0).split()[0].upper()} is not allowed in a read-only query")
+    call = re.search(r"\b(" + "|".join(CALLS) + r") *\(", named, re.I)
     if call:
         raise ReadOnlyError(f"{call.group(1)} is not allowed")
-    if re.search(r"\b(parquet|csv|json|orc|text|avro|binaryfile)\s*\.\s*`", bare, re.I):
+    if re.search(r"\b(parquet|csv|json|orc|text|avro|binaryfile|delta|jdbc) *\. *`", named, re.I):
         raise ReadOnlyError("files are read through the source functions")
 
 
@@ -48,6 +67,7 @@ class Outcome:
     rows: DataFrame | None
     columns: tuple[str, ...] = ()
     error: str | None = None
+    n_rows: int | None = None
 
 
 def query(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -59,9 +79,10 @@ def query(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None = N
 
 
 def try_query(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None = None) -> Outcome:
-    """As ``query``, but a refused or faulty statement is reported instead of raised."""
+    """As ``query``, but run for its row count; refusals and errors, at run time too, are reported instead of raised."""
     try:
         rows = query(spark, sql, tables)
-        return Outcome(True, rows, tuple(rows.columns))
+        rows.write.format("noop").mode("overwrite").save()  # a count alone would leave columns out, and their errors
+        return Outcome(True, rows, tuple(rows.columns), n_rows=rows.count())
     except (ReadOnlyError, PySparkException) as problem:
         return Outcome(False, None, error=str(problem).splitlines()[0])

@@ -6,7 +6,8 @@ from datalumen.sources.readers import load, read_database, typed
 
 @pytest.mark.parametrize("sql", [
     "SELECT 1", " with a as (select 1) select * from a ; ", "(SELECT 1)", "VALUES (1)", "-- note\nSELECT 1",
-    "SELECT replace(name, 'a', 'b') FROM t", "SELECT 'please update; drop it' AS x", "SELECT /* delete */ 1"])
+    "SELECT replace(name, 'a', 'b') FROM t", "SELECT 'please update; drop it' AS x", "SELECT /* delete */ 1",
+    "SELECT cache FROM t", "SELECT `update` FROM t", r"SELECT 'a\'; drop' AS x", "SELECT /* a /* ; */ b ; */ 1", "SELECT 'it''s; fine'"])
 def test_allowed(sql):
     check_read_only(sql)
 
@@ -14,7 +15,9 @@ def test_allowed(sql):
 @pytest.mark.parametrize("sql", [
     "DROP TABLE t", "SELECT 1; DELETE FROM t", "INSERT INTO t VALUES (1)", "", "CREATE OR REPLACE VIEW v AS SELECT 1",
     "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "SELECT reflect('java.lang.System', 'exit', 0)",
-    "SELECT * FROM parquet.`/etc`", "SET x = 1", "SELECT java_method('a', 'b')", "TRUNCATE TABLE t"])
+    "SELECT * FROM parquet.`/etc`", "SET x = 1", "SELECT java_method('a', 'b')", "TRUNCATE TABLE t",
+    r"SELECT '\\', reflect('java.util.UUID','randomUUID')", "SELECT `reflect`('java.util.UUID','randomUUID')",
+    "SELECT * FROM `text`.`/etc/hostname`", "FROM t INSERT INTO u SELECT *", "SELECT /* /* */ ' */ reflect('a','b') -- '"])
 def test_refused(sql):
     with pytest.raises(ReadOnlyError):
         check_read_only(sql)
@@ -24,8 +27,8 @@ def test_query_and_outcome(spark):
     t = spark.range(3)
     assert query(spark, "SELECT sum(id) AS s FROM numbers", {"numbers": t}).first()["s"] == 3
     good = try_query(spark, "SELECT id, id * 2 AS d FROM numbers", {"numbers": t})
-    assert good.success and good.columns == ("id", "d")
-    for bad in ("SELECT nothing FROM numbers", "DROP VIEW numbers", "SELECT FROM WHERE"):
+    assert good.success and good.columns == ("id", "d") and good.n_rows == 3
+    for bad in ("SELECT raise_error('at run time') FROM numbers", "SELECT nothing FROM numbers", "DROP VIEW numbers", "SELECT FROM WHERE"):
         outcome = try_query(spark, bad, {"numbers": t})
         assert not outcome.success and outcome.error
 

@@ -42,3 +42,23 @@ def test_segments_cover_every_column(spark):
     df = spark.createDataFrame([("x", "y", "z", "w", 1, 2, 3, 4)], "a string, b string, c string, d string, m int, n int, o int, p int")
     assert exploration.segment_breakdown(df, list("abcd"), list("mnop")).count() == 16
     assert exploration.segment_top_bottom(df, list("abcd"), list("mnop")).count() == 16
+
+
+def test_rows_that_differ_in_a_map_only_are_kept(spark):
+    from datalumen.operators.cleaning import clean_dedup
+    from datalumen.operators.inspection import duplicate_rows
+    df = spark.sql("""SELECT * FROM VALUES (1, map('a', 1, 'b', 2), array(map('x', 1))), (1, map('b', 2, 'a', 1), array(map('x', 1))),
+                      (1, map('a', 9), array(map('x', 1))), (1, map('a', 9), array(map('x', 2))), (1, NULL, NULL) AS t(i, m, n)""")
+    assert clean_dedup(df).count() == 4 and clean_dedup(df).columns == df.columns
+    row = duplicate_rows(df).first()
+    assert (row.num_rows, row.duplicate_rows) == (5, 1)
+
+
+def test_text_with_some_numbers_can_be_filled(spark):
+    from datalumen.functions.columns import formatted_number
+    from datalumen.operators.cleaning import _fill
+    df = spark.createDataFrame([("12e3",), ("abc",), (None,)], "v string")
+    assert [r.v for r in _fill(df, {"v": 5.0}).collect()] == [12000.0, 5.0, 5.0]
+    texts = {".5": 0.5, "5.": 5.0, "1e5": 1e5, "$-5": -5.0, "1 234": 1234.0, "1 23": None, "TX1": None, "(12)": -12.0, "1,200.5 %": 1200.5}
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", formatted_number(F.col("t")).alias("n")).collect()
+    assert {r.t: r.n for r in found} == texts
