@@ -90,14 +90,13 @@ def flag_external(t: Tables) -> DataFrame:
     return search.flag_external(t.conversations, "text").select("conv_id", "turn", "external")
 
 
-ANCHOR = r"""(?is)<a[^>]+href=["'']([^"'']+)["''][^>]*>(.*?)</a>"""
-
-
 def links_sql(title: str) -> str:
     """The first five links of each page that have a title; ``title`` is SQL over the raw title."""
     return rf"""
-WITH a AS (SELECT page_id, regexp_extract_all(html, '{ANCHOR}', 1)[1:5] AS links, regexp_extract_all(html, '{ANCHOR}', 2)[1:5] AS titles FROM pages),
-u AS (SELECT page_id, generate_subscripts(links, 1) AS i, trim(unnest(links)) AS link, unnest(titles) AS raw FROM a),
+WITH a AS (SELECT page_id, list_filter(list_transform(string_split(regexp_replace(html, '<[aA]\s', chr(1), 'g'), chr(1))[2:],
+    lambda x: {{'link': trim(regexp_extract(string_split(x, '>')[1], 'href="([^"]*)"', 1)), 'raw': string_split(regexp_extract(x, '(?s)>(.*)', 1), '</a>')[1]}}),
+    lambda x: x.link <> '')[1:5] AS links FROM pages),
+u AS (SELECT page_id, generate_subscripts(links, 1) AS i, unnest(links).link AS link, unnest(links).raw AS raw FROM a),
 r AS (SELECT page_id, i, link, trim(regexp_replace(regexp_replace({title}, '(?s)<.*?>', ' ', 'g'), '\s+', ' ', 'g')) AS title FROM u)
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS rank, link, title, '' AS snippet FROM r WHERE title <> ''"""
 
