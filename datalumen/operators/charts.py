@@ -21,6 +21,14 @@ def chart_agg(df: DataFrame, x: str, y: str | None = None, function: str = "sum"
     return df.groupBy(col(x)).agg(value.alias("value")).orderBy(F.desc("value"), col(x))
 
 
+def chart_aggs(df: DataFrame, x: str, y: str) -> DataFrame:
+    """``function, x, value`` of all functions, in one pass."""
+    value = measure(df, y)
+    found = df.groupBy(col(x)).agg(*[f(value).cast("double").alias(f"_{name}") for name, f in AGGREGATES.items()])
+    rows = F.array(*[F.struct(F.lit(name).alias("function"), F.round(F.col(f"_{name}"), 2).alias("value")) for name in AGGREGATES])
+    return found.select(col(x), F.inline(rows)).select("function", col(x), "value")
+
+
 def trend_raw(df: DataFrame, time: str, value: str) -> DataFrame:
     """Rows and sum per distinct timestamp."""
     return df.filter(col(time).isNotNull()).groupBy(col(time)).agg(

@@ -33,6 +33,12 @@ class Analysis:
     cleaned: DataFrame
     plan: cleaning.CleaningPlan
     tables: dict[str, DataFrame]
+    kept: DataFrame | None = None
+
+    def release(self) -> None:
+        """Give back the table that cleaning kept; the result tables can still be read, at the price of cleaning again."""
+        if self.kept is not None:
+            self.kept.unpersist()
 
 
 def analyze(spark: SparkSession, source: str | DataFrame, options: AnalysisOptions = AnalysisOptions()) -> Analysis:
@@ -98,7 +104,7 @@ def analyze(spark: SparkSession, source: str | DataFrame, options: AnalysisOptio
             out |= {"model_metrics": model.metrics, "model_importance": model.importance}
         except modeling.NotTrainable:
             pass
-    return Analysis(roles, clean, result.plan, out)
+    return Analysis(roles, clean, result.plan, out, result.kept)
 
 
 def _figures(df: DataFrame, numbers: list[str], options: AnalysisOptions) -> dict[str, DataFrame]:

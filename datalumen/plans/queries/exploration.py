@@ -149,13 +149,7 @@ def outlier_rows(t: Tables) -> DataFrame:
 SELECT '{f}' AS function, o_orderpriority, CAST(round({f}(o_totalprice), 2) AS DOUBLE) AS value FROM orders GROUP BY 2"""
                            for f in charts.AGGREGATES]))
 def chart_bar(t: Tables) -> DataFrame:
-    parts = [charts.chart_agg(t.orders, "o_orderpriority", "o_totalprice", f).select(
-        F.lit(f).alias("function"), "o_orderpriority", F.col("value").cast("double").alias("value"))
-        for f in charts.AGGREGATES]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return charts.chart_aggs(t.orders, "o_orderpriority", "o_totalprice")
 
 
 @query("trend_raw", """
