@@ -29,14 +29,23 @@ def _lentz(term, steps: int = 2000) -> float:
     return 1.0 / value
 
 
-def beta_tail(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function."""
+def _log_gamma_step(a: float, b: float) -> float:
+    """``lgamma(a + b) - lgamma(a)``; by Stirling's series where both are large and the difference would lose its digits."""
+    if a < 1e4:
+        return math.lgamma(a + b) - math.lgamma(a)
+    c = a + b
+    return (a - 0.5) * math.log1p(b / a) + b * math.log(c) - b + (1 / c - 1 / a) / 12 - (1 / c**3 - 1 / a**3) / 360
+
+
+def beta_tail(a: float, b: float, x: float, y: float | None = None) -> float:
+    """Regularised incomplete beta function; ``y`` is ``1 - x`` where the caller knows it with more digits."""
+    y = 1.0 - x if y is None else y
     if x <= 0.0:
         return 0.0
-    if x >= 1.0:
+    if y <= 0.0:
         return 1.0
     if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - beta_tail(b, a, 1.0 - x)
+        return 1.0 - beta_tail(b, a, y, x)
 
     def term(i: int) -> float:
         m = i // 2
@@ -44,7 +53,10 @@ def beta_tail(a: float, b: float, x: float) -> float:
             return m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         return -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
 
-    front = a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+    log_x = math.log1p(-y) if y < 0.5 else math.log(x)
+    log_y = math.log1p(-x) if x < 0.5 else math.log(y)
+    large, small = max(a, b), min(a, b)
+    front = a * log_x + b * log_y + _log_gamma_step(large, small) - math.lgamma(small)
     return math.exp(front) * _lentz(term) / a
 
 
@@ -69,12 +81,28 @@ def gamma_upper(s: float, x: float) -> float:
     return front / value
 
 
+#: Degrees of freedom beyond which F is taken as a rescaled chi-square: the fraction loses digits, the limit gains them.
+MANY = 1e7
+
+
+def _as_chi2(f: float, d1: float, d2: float) -> float:
+    """The chi-square value with ``d1`` degrees whose tail is that of F up to terms of ``1 / d2**2``."""
+    x = d1 * f
+    return x * (2 * d2 + x / 3 + d1 - 2) / (2 * d2 + 4 * x / 3)
+
+
 def t_two_sided(t: float, df: float) -> float:
-    return beta_tail(df / 2.0, 0.5, df / (df + t * t))
+    if df > MANY:
+        return math.erfc(math.sqrt(_as_chi2(t * t, 1.0, df) / 2.0))
+    return beta_tail(df / 2.0, 0.5, df / (df + t * t), t * t / (df + t * t))
 
 
 def f_upper(f: float, d1: float, d2: float) -> float:
-    return beta_tail(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f)) if f > 0 else 1.0
+    if f <= 0:
+        return 1.0
+    if d2 > MANY and d1 < d2 / 1e4:
+        return chi2_upper(_as_chi2(f, d1, d2), d1)
+    return beta_tail(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f), d1 * f / (d2 + d1 * f))
 
 
 def chi2_upper(x: float, df: float) -> float:

@@ -220,10 +220,52 @@ def _with_roles(stats: DataFrame) -> DataFrame:
     )
 
 
+def constant_columns(df: DataFrame) -> DataFrame:
+    """``column, is_constant``: whether all values of a column that are there are equal (or none is there), by its extremes."""
+    fields = _usable(df)
+    ends = []
+    for i, f in enumerate(fields):
+        value = F.when(~missing(col(f.name), f), col(f.name))
+        ends += [F.min(value).alias(f"_lo_{i}"), F.max(value).alias(f"_hi_{i}")]
+    entries = [[F.lit(f.name), F.col(f"_lo_{i}").eqNullSafe(F.col(f"_hi_{i}"))] for i, f in enumerate(fields)]
+    return tidy(df.agg(*ends), entries, ["column", "is_constant"])
+
+
+def quality_facts(df: DataFrame) -> DataFrame:
+    """One row per column: cells, gaps, placeholders, personal data and the constant flag, without any distinct count."""
+    fields = _usable(df)
+    if not fields:
+        raise ValueError("the table has no column of a plain type")
+    text = F.col("text")
+    tests = {"missing_count": F.col("gone"), "null_like_count": is_placeholder(text),
+             **{f"_pii_{name}": pii_match(text, name) for name in fixed.PII_PATTERNS}}
+    stats = _named(_cells(df, fields).groupBy("position").agg(
+        F.count("*").alias("total_count"), *[hits(test).alias(t) for t, test in tests.items()]), fields)
+    valid = F.col("total_count") - F.col("missing_count")
+    pii = _first_pii({name: F.try_divide(F.col(f"_pii_{name}"), valid) for name in fixed.PII_PATTERNS})
+    # One row per column.
+    return stats.join(F.broadcast(constant_columns(df)), "column").select(
+        "column", "total_count", "missing_count", "null_like_count", pii.alias("pii_type"), "is_constant")
+
+
 def pk_candidates(df: DataFrame) -> DataFrame:
-    """Columns whose exact distinct count equals the row count with no null."""
-    found = distinct_by_column(df).filter((F.col("unique_count") == F.col("total_count")) & (F.col("total_count") > 0))
-    return found.select("column", "total_count")
+    """Columns whose exact distinct count equals the row count with no null.
+
+    One pass estimates the distinct counts; only columns without gaps whose estimate is within five standard errors of
+    the row count are counted exactly, so the values of all other columns are never shuffled.
+    """
+    fields = _usable(df)
+    values = {f.name: F.when(~missing(col(f.name), f), col(f.name)) for f in fields}
+    row = df.agg(F.count("*").alias("_rows"), *[x for i, v in enumerate(values.values()) for x in (
+        F.count(v).alias(f"_n_{i}"), F.approx_count_distinct(v, SCREEN_ERROR).alias(f"_d_{i}"))]).first()
+    rows = row["_rows"]
+    close = [c for i, c in enumerate(values) if rows and row[f"_n_{i}"] == rows
+             and rows - row[f"_d_{i}"] <= max(2.0, 5 * SCREEN_ERROR * rows)]
+    found = df.sparkSession.createDataFrame([], "column string, total_count bigint")
+    for c in close:
+        exact = df.agg(F.count_distinct(values[c]).alias("_d"))
+        found = found.union(exact.filter(F.col("_d") == rows).select(F.lit(c), F.lit(rows).cast("bigint")))
+    return found
 
 
 @dataclass(frozen=True)

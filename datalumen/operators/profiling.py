@@ -9,7 +9,7 @@ from datalumen.functions.columns import (
     adjusted_skew, col, hits, is_text, measure, parsed_date, share, tidy,
 )
 from datalumen.operators.cleaning import value_counts
-from datalumen.operators.inspection import duplicate_rows, inspect_columns
+from datalumen.operators.inspection import duplicate_rows, quality_facts
 from datalumen.operators.quantiles import quantiles
 
 
@@ -90,9 +90,9 @@ def describe_table(df: DataFrame, columns: list[str]) -> DataFrame:
     return moments.join(F.broadcast(quarts), "column")
 
 
-def quality_score(df: DataFrame, approx: bool = False) -> DataFrame:
+def quality_score(df: DataFrame) -> DataFrame:
     """Quality from 0 to 100: a start of 100 less five capped penalties, each rounded to 2 digits."""
-    columns = inspect_columns(df, approx).agg(
+    columns = quality_facts(df).agg(
         F.sum("missing_count").alias("gaps"), F.sum("null_like_count").alias("holders"),
         F.sum("total_count").alias("cells"), hits(F.col("is_constant")).alias("constant"),
         F.count("pii_type").alias("pii"))

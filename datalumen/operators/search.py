@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from datalumen.functions import fixed
 from datalumen.functions.columns import any_of, col, strip
-from datalumen.session import checkpointed
+from datalumen.session import checkpointed, scratch_path
 
 # Chunk sizes and ranking constants.
 CHUNK = 3000
@@ -47,11 +48,12 @@ def _blocks(queries: DataFrame, payload: str, cells: int) -> Iterator[list]:
     """The queries in blocks of bounded count and size; the driver holds one block at a time."""
     block, size = [], 0
     for row in queries.toLocalIterator():
-        if block and (len(block) == QUERY_BLOCK or size + len(row[payload]) > cells):
+        cost = len(row[payload] or ())
+        if block and (len(block) == QUERY_BLOCK or size + cost > cells):
             yield block
             block, size = [], 0
         block.append(row)
-        size += len(row[payload])
+        size += cost
     if block:
         yield block
 
@@ -86,6 +88,22 @@ def _top(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", place.cast("bigint")).filter(F.col("rank") <= k)
 
 
+def _all_blocks(spark: SparkSession, blocks: Iterator[DataFrame], k: int) -> DataFrame:
+    """The hits of all blocks of queries. One block stays lazy; of several, each is scored and written to the shared folder
+    before the next is read, so neither the plan nor the driver grows with the queries.
+    """
+    first = next(blocks, None)
+    if first is None:
+        return _top(spark.createDataFrame([], HIT_SCHEMA), k)
+    second = next(blocks, None)
+    if second is None:
+        return _top(first, k)
+    path = scratch_path(spark, "hits")
+    for block in chain([first, second], blocks):
+        _top(block, k).drop("rank").write.mode("append").parquet(path)
+    return _top(spark.read.schema(HIT_SCHEMA).parquet(path), k)
+
+
 def bm25_topk(
     queries: DataFrame, query_id: str, query_text: str, docs: DataFrame, doc_id: str, doc_text: str, k: int = 4,
 ) -> DataFrame:
@@ -93,21 +111,27 @@ def bm25_topk(
 
     Term counts are an ordinary aggregation. Scoring goes over the corpus once per block of queries:
     each task multiplies its term weights with the block and keeps only its own k best per query, so no
-    (query, document) pairs are shuffled. Queries are read in blocks of a fixed size.
+    (query, document) pairs are shuffled. Queries are read in blocks of a fixed size; a null text has no words.
     """
     corpus = docs.select(col(doc_id).cast("bigint").alias("doc_id"), tokens(col(doc_text)).alias("terms"))
     size = corpus.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl")).first()
     n, avgdl = size["n"], size["avgdl"] or 1.0
     df = corpus.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     spark = docs.sparkSession
     asked = queries.select(col(query_id).cast("bigint").alias("id"), tokens(col(query_text)).alias("terms"))
-    out, mean = spark.createDataFrame([], HIT_SCHEMA), None
-    for number, block in enumerate(_blocks(asked, "terms", QUERY_WORDS)):
+    return _all_blocks(spark, _scored_blocks(corpus, df, _blocks(asked, "terms", QUERY_WORDS), n, avgdl, k), k)
+
+
+def _scored_blocks(corpus: DataFrame, df: DataFrame, blocks: Iterator[list], n: int, avgdl: float, k: int) -> Iterator[DataFrame]:
+    """The hits of one block of queries after the other."""
+    spark = corpus.sparkSession
+    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    mean = None
+    for number, block in enumerate(blocks):
         if number == 1:
             # More than one block: the counts are written down once instead of being counted per block.
             df = checkpointed(df)
-        words = sorted({t for row in block for t in row["terms"]})
+        words = sorted({t for row in block for t in row["terms"] or ()})
         if not words:
             continue
         vocab = spark.createDataFrame([(t,) for t in words], "term string")
@@ -123,15 +147,14 @@ def bm25_topk(
         for term, count in row["terms"]:
             value = math.log((n - count + 0.5) / (count + 0.5))
             weights[term] = value if value >= 0 else FLOOR * mean
-        out = out.unionAll(_score_block(corpus, block, sorted(weights), weights, avgdl, k))
-    return _top(out, k)
+        yield _score_block(corpus, block, sorted(weights), weights, avgdl, k)
 
 
 def _score_block(corpus: DataFrame, block: list, vocab: list[str], weights: dict, avgdl: float, k: int) -> DataFrame:
     place = {t: i for i, t in enumerate(vocab)}
     matrix = np.zeros((len(vocab), len(block)))
     for q, row in enumerate(block):
-        for t in row["terms"]:
+        for t in row["terms"] or ():
             if t in place:
                 matrix[place[t], q] += weights[t]
     query_ids = [row["id"] for row in block]
@@ -157,26 +180,49 @@ def _score_block(corpus: DataFrame, block: list, vocab: list[str], weights: dict
     return corpus.mapInArrow(score, HIT_SCHEMA)
 
 
-def centroids(vectors: DataFrame, group: str, vector: str, size: int) -> DataFrame:
-    """The mean vector per group; one partial aggregation with one mean per dimension."""
-    means = vectors.groupBy(col(group)).agg(*[F.avg(col(vector)[i].cast("double")).alias(f"_{i}") for i in range(size)])
-    return means.select(col(group), F.array(*[f"_{i}" for i in range(size)]).alias(vector))
+def _vectors(rows: DataFrame, key: str, vector: str, name: str) -> DataFrame:
+    """``name, v`` of the rows that have a vector; null and empty vectors and those with a null inside have none."""
+    v = col(vector).cast("array<double>")
+    return rows.select(col(key).cast("bigint").alias(name), v.alias("v")).filter(
+        (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()))
+
+
+def _of_size(size: int) -> Column:
+    """The vector, or an error where it has another size."""
+    other = F.raise_error(F.concat(F.lit(f"expected vectors of {size} values, found one of "), F.size("v")))
+    return F.when(F.size("v") == size, F.col("v")).otherwise(other.cast("array<double>"))
+
+
+def centroids(vectors: DataFrame, group: str, vector: str, size: int | None = None) -> DataFrame:
+    """The mean vector per group; one partial aggregation with one mean per dimension.
+
+    The size is read from the data unless it is given. Rows without a vector do not count; another size is an error.
+    """
+    rows = vectors.select(col(group).alias("_group"), col(vector).cast("array<double>").alias("v")).filter(F.size("v") > 0)
+    if size is None:
+        size = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    same = rows.select("_group", _of_size(size).alias("v"))
+    means = same.groupBy("_group").agg(F.count("*").alias("_n"), *[F.avg(F.col("v")[i]).alias(f"_{i}") for i in range(size)])
+    return means.select(F.col("_group").alias(group), F.array(*[f"_{i}" for i in range(size)]).cast("array<double>").alias(vector))
 
 
 def vector_topk(
     queries: DataFrame, query_id: str, query_vector: str, vectors: DataFrame, vector_id: str, vector: str, k: int = 5,
 ) -> DataFrame:
-    """The k nearest vectors per query by cosine; one pass per block of queries, k rows per query and task."""
-    rows = vectors.select(col(vector_id).cast("bigint").alias("doc_id"), col(vector).cast("array<double>").alias("v"))
-    asked = queries.select(col(query_id).cast("bigint").alias("id"), col(query_vector).cast("array<double>").alias("v"))
-    out = vectors.sparkSession.createDataFrame([], HIT_SCHEMA)
-    for block in _blocks(asked, "v", 1_000_000):
-        out = out.unionAll(_nearest_block(rows, block, k))
-    return _top(out, k)
+    """The k nearest vectors per query by cosine; one pass per block of queries, k rows per query and task.
+
+    Rows without a vector, and those with a null inside it, are left out on both sides; vectors of different sizes are an error.
+    """
+    rows = _vectors(vectors, vector_id, vector, "doc_id")
+    blocks = _blocks(_vectors(queries, query_id, query_vector, "id"), "v", 1_000_000)
+    return _all_blocks(vectors.sparkSession, (_nearest_block(rows, block, k) for block in blocks), k)
 
 
 def _nearest_block(rows: DataFrame, block: list, k: int) -> DataFrame:
     query_ids = [r["id"] for r in block]
+    sizes = sorted({len(r["v"]) for r in block})
+    if len(sizes) > 1:
+        raise ValueError(f"the query vectors have different sizes: {sizes}")
     target = np.array([r["v"] for r in block], dtype="float64")
     target = target / np.maximum(np.linalg.norm(target, axis=1, keepdims=True), 1e-300)
 
@@ -192,7 +238,7 @@ def _nearest_block(rows: DataFrame, block: list, k: int) -> DataFrame:
         if held is not None:
             yield _hits(held, query_ids, positive=False)
 
-    return rows.mapInArrow(score, HIT_SCHEMA)
+    return rows.select("doc_id", _of_size(sizes[0]).alias("v")).mapInArrow(score, HIT_SCHEMA)
 
 
 def vector_mmr(
@@ -200,9 +246,9 @@ def vector_mmr(
     k: int = 5, fetch: int = 10, balance: float = 0.5,
 ) -> DataFrame:
     """Of the ``fetch`` nearest vectors the k that are near the query and unlike each other."""
-    near = vector_topk(queries, query_id, query_vector, vectors, vector_id, vector, fetch)
-    store = vectors.select(col(vector_id).cast("bigint").alias("doc_id"), col(vector).cast("array<double>").alias("v"))
-    # One row per query and candidate: ``fetch`` times the queries.
+    # Written down, as it is counted and joined: ``fetch`` rows per query.
+    near = checkpointed(vector_topk(queries, query_id, query_vector, vectors, vector_id, vector, fetch))
+    store = _vectors(vectors, vector_id, vector, "doc_id")
     pool = store.join(F.broadcast(near), "doc_id") if near.count() <= 100_000 else store.join(near, "doc_id")
 
     def choose(pool: pd.DataFrame) -> pd.DataFrame:

@@ -62,7 +62,7 @@ def analyze(spark: SparkSession, source: str | DataFrame, options: AnalysisOptio
     most = options.test_levels
     few = [c for c in categories if most is None or roles.unique_counts.get(c, 0) <= most]
     out: dict[str, DataFrame] = {
-        "columns": inspected, "quality": profiling.quality_score(raw, options.approx), "log": result.log,
+        "columns": inspected, "quality": profiling.quality_score(raw), "log": result.log,
         "validation": validation.before_after(raw, clean),
         "summary": validation.cleaning_summary(raw, clean, result.log),
         "charts": charts.recommend_charts(clean, roles),

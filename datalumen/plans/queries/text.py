@@ -48,14 +48,29 @@ s AS (SELECT c.label AS query_id, v.vec_id AS doc_id, round(list_cosine_similari
 SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, round(score, 4) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
 def vector_topk(t: Tables) -> DataFrame:
-    asked = search.centroids(t.embeddings, "label", "embedding", 64)
+    asked = search.centroids(t.embeddings, "label", "embedding")
     hits = search.vector_topk(asked, "label", "embedding", t.embeddings, "vec_id", "embedding", 10)
     return hits.withColumn("score", F.round("score", 4))
 
 
-@query("vector_mmr")
+@query("vector_mmr", f"""
+WITH RECURSIVE {CENTROIDS},
+s AS (SELECT CAST(c.label AS BIGINT) AS query_id, v.vec_id AS doc_id, v.embedding AS e,
+    round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), c.m), 6) AS score FROM embeddings v CROSS JOIN c),
+pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM s) WHERE place <= 10),
+alike AS (SELECT a.query_id, a.doc_id AS a, b.doc_id AS b, list_cosine_similarity(CAST(a.e AS DOUBLE[]), CAST(b.e AS DOUBLE[])) AS sim
+  FROM pool a JOIN pool b USING (query_id)),
+g AS (SELECT query_id, doc_id, score, 1 AS rank, [doc_id] AS picked FROM pool WHERE place = 1
+  UNION ALL
+  SELECT query_id, doc_id, score, rank + 1, list_append(picked, doc_id) FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(0.5 * score - 0.5 * most, 9) DESC, place) AS best FROM (
+      SELECT g.query_id, g.rank, g.picked, p.doc_id, p.score, p.place, max(m.sim) AS most
+      FROM g JOIN pool p ON p.query_id = g.query_id AND NOT list_contains(g.picked, p.doc_id)
+      JOIN alike m ON m.query_id = g.query_id AND m.a = p.doc_id AND list_contains(g.picked, m.b)
+      WHERE g.rank < 5 GROUP BY ALL)) WHERE best = 1)
+SELECT query_id, doc_id, round(score, 4) AS score, CAST(rank AS BIGINT) AS rank FROM g""")
 def vector_mmr(t: Tables) -> DataFrame:
-    asked = search.centroids(t.embeddings, "label", "embedding", 64)
+    asked = search.centroids(t.embeddings, "label", "embedding")
     hits = search.vector_mmr(asked, "label", "embedding", t.embeddings, "vec_id", "embedding")
     return hits.withColumn("score", F.round("score", 4))
 

@@ -35,3 +35,13 @@ def test_t_quantile(df, point):
 
 def test_interval_of_a_known_sample():
     assert d.t_quantile(0.975, 24) * 488.435161169491 / 5 == pytest.approx(201.616125, abs=1e-5)
+
+
+@pytest.mark.parametrize("t", [0.5, 1.96, 5.0, 8.0])
+def test_tails_keep_their_digits_with_many_rows(t):
+    normal = math.erfc(t / math.sqrt(2))
+    assert d.t_two_sided(t, 1e12) == pytest.approx(normal, rel=1e-9)
+    assert d.f_upper(t * t, 1.0, 1e15) == pytest.approx(normal, rel=1e-9)
+    below, above = d.MANY * 0.999, d.MANY * 1.001
+    assert d.t_two_sided(t, below) == pytest.approx(d.t_two_sided(t, above), rel=1e-6)
+    assert d.f_upper(t, 7.0, below) == pytest.approx(d.f_upper(t, 7.0, above), rel=1e-6)

@@ -188,3 +188,13 @@ def test_a_table_without_rows(spark):
     assert inspection.duplicate_rows(df).first()["duplicate_pct"] == 0.0
     assert profiling.profile_numeric(df, ["b"]).first()["status"] == "empty"
     assert cleaning.clean(df, inspection.table_meta(df)).log.count() == 0
+
+
+def test_keys_and_constants_without_counting_all_values(spark):
+    rows = [(i, i if i != 7 else 8, float("nan") if i % 2 else 5.0, None, f"k{i}", None if i == 3 else i) for i in range(400)]
+    df = spark.createDataFrame(rows, "a int, near int, c double, gone string, k string, gap int")
+    assert sorted(r["column"] for r in inspection.pk_candidates(df).collect()) == ["a", "k"]
+    assert inspection.pk_candidates(df.limit(0)).count() == 0
+    assert {r["column"] for r in inspection.constant_columns(df).collect() if r["is_constant"]} == {"c", "gone"}
+    by_counts = {r["column"]: r["is_constant"] for r in inspection.inspect_columns(df).collect()}
+    assert {r["column"]: r["is_constant"] for r in inspection.quality_facts(df).collect()} == by_counts

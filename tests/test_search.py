@@ -71,6 +71,34 @@ def test_vectors_and_diversity_equal_brute_force(spark):
     assert sorted(map(tuple, got)) == sorted(diverse)
 
 
+def test_rows_without_a_vector_are_left_out_and_other_sizes_refused(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, []), (4, [0.0, 1.0]), (5, [1.0, None])]
+    store = spark.createDataFrame(rows, "id bigint, v array<double>")
+    got = search.vector_topk(store, "id", "v", store, "id", "v", 1).select("query_id", "doc_id").collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (4, 4)]
+    assert [tuple(r["v"]) for r in search.centroids(store.where("id < 5"), "id", "v").orderBy("id").collect()] == [(1.0, 0.0), (0.0, 1.0)]
+    assert search.vector_topk(store.limit(0), "id", "v", store, "id", "v").count() == 0
+    assert search.centroids(store.limit(0), "id", "v").count() == 0
+    ragged = store.union(spark.createDataFrame([(6, [1.0, 2.0, 3.0])], store.schema))
+    with pytest.raises(Exception, match="expected vectors of 2 values"):
+        search.vector_topk(store, "id", "v", ragged, "id", "v").collect()
+    with pytest.raises(ValueError, match="different sizes"):
+        search.vector_topk(ragged, "id", "v", store, "id", "v").collect()
+
+
+def test_plan_does_not_grow_with_the_blocks_of_queries(corpus, spark, monkeypatch):
+    docs, _, _, _ = corpus
+    monkeypatch.setattr(search, "QUERY_BLOCK", 1)
+
+    def plan(queries):
+        asked = spark.createDataFrame([(i, f"w{i} w{i + 1}") for i in range(queries)] + [(99, None)], "q bigint, text string")
+        hits = search.bm25_topk(asked, "q", "text", docs, "doc_id", "text", 2)
+        assert hits.select("query_id").distinct().count() == queries
+        return len(hits._jdf.queryExecution().analyzed().toString().splitlines())
+
+    assert plan(2) == plan(5)
+
+
 def test_chunks_overlap(spark):
     text = "".join(chr(97 + i % 26) for i in range(65))
     df = spark.createDataFrame([(1, text), (2, ""), (3, "short")], "id int, t string")
