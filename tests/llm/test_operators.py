@@ -169,6 +169,37 @@ def test_frequent_lines_go_and_copies_stay(spark):
     assert kept[100].text == body
 
 
+def test_pages_of_mostly_shared_lines_are_counted_each(spark):
+    rng = random.Random(8)
+    def own(n):
+        return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared = [own(12) for _ in range(9)]
+    copied = [own(12) for _ in range(30)]
+    table = [(i, "\n".join([*shared[:k], own(12 * (10 - k))]), "h") for i, k in enumerate([9] * 60 + [6] * 60)]
+    for i in range(300):  # edited in any line
+        lines = list(copied)
+        at = rng.randrange(30)
+        words = lines[at].split()
+        words[rng.randrange(12)] = f"v{i}"
+        lines[at] = " ".join(words)
+        table.append((1000 + i, "\n".join(lines), "h"))
+    table += [(5000 + i, "\n".join([*shared, own(12)]), "g") for i in range(20)] + [(6000 + i, table[0][1], "g") for i in range(40)]
+    docs = spark.createDataFrame(table, "doc_id bigint, text string, source string")
+    texts, holds = defaultdict(set), defaultdict(set)
+    for d, t, s in table:
+        if not 1000 <= d < 5000:
+            texts[s].add(t)
+            for x in t.split("\n"):
+                holds[s, x].add(t)
+    frequent = {k for k, x in holds.items() if len(x) > max(20, 0.005 * len(texts[k[0]]))}
+    assert frequent == {(s, x) for s in "gh" for x in shared}
+    expected = {}
+    for d, t, s in table:
+        gone = sum(len(x.split()) for x in t.split("\n") if (s, x) in frequent)
+        expected[d] = (gone, gone <= 0.8 * len(t.split()))
+    assert {r.doc_id: (r.removed, r.kept) for r in quality.assess(docs).collect()} == expected
+
+
 def test_packing(docs, nothing):
     from tokenizers import Tokenizer
     path = public_tokenizers.path("word_bpe_49k.json")
