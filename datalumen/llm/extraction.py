@@ -1,9 +1,11 @@
 """Main text of web pages by two-pass block rules.
 
-Markup is cut into blocks. The first pass decides by structure, length, link density and stop-word density; short blocks
+Markup is cut into blocks. The first pass decides by length, link density and stop-word density; short blocks
 stay ambiguous. The second pass gives those the label of the nearest decided neighbours; at equal distance from a good
-and a bad one a block is kept inside an article or main element and dropped elsewhere. Neighbours count only in the same element, what is set
-apart by its markup (menus, notices and the like) is nobody's neighbour, and where no neighbour is decided the block is kept.
+and a bad one a block is kept inside an article or main element and dropped elsewhere. Neighbours count only in the same element, and what is set
+apart by its markup (menus, notices and the like) is nobody's neighbour. Where no neighbour is decided, blocks are kept if no block of the page
+is good, and of these only those in articles and main elements if there are any. Beyond these ties an article or main element only
+keeps a short block with links, or one with few stop words, ambiguous, and takes medium stop-word density as enough at any length.
 
 Null and empty pages give an empty text. Repeated rows each get their own result.
 """
@@ -144,25 +146,20 @@ def blocks(html: str) -> list[Block]:
     return [b for b in out if b.text]
 
 
-def _first_pass(b: Block, has_main: bool) -> bool | None:
+def _first_pass(b: Block) -> bool | None:
     """Good, bad or ambiguous by the block itself."""
-    if b.around or has_main and not b.main:
+    if b.around or b.linked > LINKS * max(1, sum(map(len, b.parts))):
         return False
     n = len(b.text)
-    density = b.linked / max(1, sum(map(len, b.parts)))
-    if density > (0.8 if b.main else LINKS):
-        return False
     if n < SHORT:
         return None if not b.linked or b.main else False
-    if b.main:
-        return True
     words = b.text.lower().split()
     stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
     if stops >= STOP_HIGH:
         return True
     if stops >= STOP_LOW:
-        return True if n > LONG else None
-    return False
+        return True if n > LONG or b.main else None
+    return None if b.main else False
 
 
 def _second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
@@ -173,6 +170,7 @@ def _second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
         before.append(last.get(b.main))
         if x is not None and not b.around:
             last[b.main] = (i, x)
+    some_good, some_main = True in labels, any(b.main and x is None for b, x in zip(found, labels))
     out: list[bool] = []
     last = {}
     for i in range(len(found) - 1, -1, -1):
@@ -180,7 +178,7 @@ def _second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
         if x is None:
             near = [p for p in (before[i], last.get(b.main)) if p]
             if not near:
-                x = True
+                x = not some_good and (b.main > 0 or not some_main)
             elif len(near) == 1 or near[0][1] == near[1][1]:
                 x = near[0][1]
             else:
@@ -195,8 +193,7 @@ def _second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
 def main_text(html: str) -> str:
     """The blocks that are main text, one a line."""
     found = blocks(html)
-    has_main = any(b.main and not b.around for b in found)
-    keep = _second_pass(found, [_first_pass(b, has_main) for b in found])
+    keep = _second_pass(found, [_first_pass(b) for b in found])
     return "\n".join(b.text for b, k in zip(found, keep) if k)
 
 

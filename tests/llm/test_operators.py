@@ -354,6 +354,16 @@ def test_extraction_without_article():
     assert extraction.main_text(page) == f"{long}\nShort one."
 
 
+def test_articles_beside_the_main_text():
+    long = "The cat is on the mat and it was there for a long time with the dog that was not in the house of the man."
+    listing = "Alpha Beta Gamma Delta, Epsilon Zeta Eta Theta, Iota Kappa Lambda, Omicron Sigma Upsilon, Omega Digamma"
+    teasers = "".join(f"<article><h3>Teaser {i}</h3><p>Read more now <a href=x>here</a></p></article>" for i in range(3))
+    assert extraction.main_text(f"<div><h1>Title</h1><p>{long}</p><p>{long}</p></div>{teasers}") == f"Title\n{long}\n{long}"
+    linked = f"<p>See <a href=x>{listing}</a> and {listing}</p>"
+    assert extraction.main_text(f"<main><p>{long}</p>{linked}<p>{long}</p></main>") == f"{long}\n{long}"
+    assert extraction.main_text(f"<article><p>{listing}</p></article>") == listing
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     rng = random.Random(4)
