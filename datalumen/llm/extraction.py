@@ -3,7 +3,8 @@
 Markup is cut into blocks. The first pass decides by length, link density and stop-word density; short blocks
 stay ambiguous. The second pass gives those the label of the nearest decided neighbours; at equal distance from a good
 and a bad one a block is kept inside an article or main element and dropped elsewhere. Neighbours count only in the same element, and what is set
-apart by its markup (menus, notices and the like) is nobody's neighbour. Where no neighbour is decided, blocks are kept if no block of the page
+apart by its markup (menus, notices and the like) is nobody's neighbour. A class, id or role sets apart by whole tokens only, never html, body
+or main and no holder of most of the page's text (if this is over 200 characters, or all there is), and not long prose with many stop words and few links. Where no neighbour is decided, blocks are kept if no block of the page
 is good, and of these only those in articles and main elements if there are any. Beyond these ties an article or main element only
 keeps a short block with links, or one with few stop words, ambiguous, and takes medium stop-word density as enough at any length.
 
@@ -39,6 +40,7 @@ al como con del el ella en entre es esta este la las lo los más no para pero po
 _RAW = "script|style|noscript|template|svg|iframe|object|textarea|select|title|canvas|math"
 _AROUND = frozenset("nav footer aside form menu dialog button fieldset head".split())
 _MAIN = frozenset("article main".split())
+_NEVER = frozenset("html body main".split())
 _BLOCKS = frozenset("""
 address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure
 footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary
@@ -53,48 +55,62 @@ consent contentinfo cookie cookies copyright disclaimer disqus footer legal logi
 newsletter notice notification overlay pagination pager popup promo promotion recommended related replies reply respond
 search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar tracking widget
 """.split())
+# What else a token of such a name may hold ("sidebar-left", "site-footer").
+_PLACES = frozenset("""
+area bar block bottom box column container footer group header inner item left links list main menu outer page panel post primary right
+secondary section site slot top unit
+""".split())
 
 _MARKUP = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*+>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+(?:>|\Z)|</?\Z", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
-_NAME = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[^a-z]+")
 _WHITE = re.compile(r"\s+")
 
 
 class Block:
     """The text of one block, its characters in links, and where it stands."""
 
-    __slots__ = ("parts", "linked", "around", "main", "text")
+    __slots__ = ("parts", "linked", "around", "named", "main", "text")
 
-    def __init__(self, around: bool, main: int):
+    def __init__(self, around: bool, named: int, main: int):
         self.parts: list[str] = []
-        self.linked, self.around, self.main, self.text = 0, around, main, ""
+        self.linked, self.around, self.named, self.main, self.text = 0, around, named, main, ""
+
 
+def _named(token: str, inside_main: bool) -> bool:
+    """Whether a class, id or role as a whole names what surrounds the main text."""
+    parts = {p for p in _PARTS.split(token) if p}
+    names = _NAMES if inside_main else _NAMES | {"header"}
+    return bool(parts & names) and parts <= names | _PLACES
 
-def _set_apart(attributes: str, inside_main: bool) -> bool:
+
+def _set_apart(attributes: str, inside_main: bool) -> tuple[bool, bool]:
+    """Whether an element is hidden, and whether its names set it apart."""
+    named = False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, named
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return True, named
         if name in ("class", "id", "role"):
-            words = set(_NAME.findall(value))
-            if words & _NAMES or "header" in words and not inside_main:
-                return True
-    return False
+            named = named or any(_named(token, inside_main) for token in value.split())
+    return False, named
 
 
 def blocks(html: str) -> list[Block]:
     """The blocks with text, in page order; unclosed and stray tags are tolerated."""
     out: list[Block] = []
-    open_: list[tuple[str, bool, int]] = []  # element, set apart, number of the main element around it (0: none)
+    # Element, set apart, number of the holder set apart by name and of the main element around it (0: none).
+    open_: list[tuple[str, bool, int, int]] = []
+    outer = [0]  # of each holder set apart by name, the one around it
     current: Block | None = None
     link = mains = at = 0
 
-    def place() -> tuple[bool, int]:
-        return open_[-1][1:] if open_ else (False, 0)
+    def place() -> tuple[bool, int, int]:
+        return open_[-1][1:] if open_ else (False, 0, 0)
 
     def add(text: str) -> None:
         nonlocal current
@@ -123,27 +139,56 @@ def blocks(html: str) -> list[Block]:
             current, link = None, 0
         if name in _VOID:
             continue
-        inner_holder = name in _HOLDERS or name in ("span", "p", "li") and not m[2] and m[4] and _set_apart(m[4], place()[1] > 0)
+        inner_holder = name in _HOLDERS or name in ("span", "p", "li") and not m[2] and m[4] and any(_set_apart(m[4], place()[2] > 0))
         if m[2]:
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == name:
-                    if name not in _BLOCKS and open_[k][1] != (open_[k - 1][1] if k else False):
+                    if name not in _BLOCKS and open_[k][1:3] != (open_[k - 1][1:3] if k else (False, 0)):
                         current = None
                     del open_[k:]
                     break
         elif inner_holder:
-            around, main = place()
+            around, named, main = place()
             if name in _MAIN and not main:
                 mains += 1
                 main = mains
-            apart = around or name in _AROUND or name == "header" and not main or bool(m[4]) and _set_apart(m[4], main > 0)
-            if apart != around:
+            hidden, by_name = _set_apart(m[4], main > 0) if m[4] else (False, False)
+            apart = around or hidden or name in _AROUND or name == "header" and not main
+            if by_name and name not in _NEVER:
+                outer.append(named)
+                named = len(outer) - 1
+            if (apart, named) != place()[:2]:
                 current = None
-            open_.append((name, apart, main))
+            open_.append((name, apart, named, main))
     add(html[at:])
     for b in out:
         b.text = _WHITE.sub(" ", unescape("".join(b.parts))).strip()
-    return [b for b in out if b.text]
+    out = [b for b in out if b.text]
+    _undo_names(out, outer)
+    return out
+
+
+def _undo_names(found: list[Block], outer: list[int]) -> None:
+    """Names do not count for holders of most of the page's text, nor for long prose."""
+    held = [0] * len(outer)
+    for b in found:
+        if not b.around:
+            held[b.named] += len(b.text)
+    for k in range(len(outer) - 1, 0, -1):  # inner holders come after outer ones
+        held[outer[k]] += held[k]
+    apart = [False] * len(outer)
+    for k in range(1, len(outer)):
+        most = 2 * held[k] > held[0] and (held[k] > LONG or held[k] == held[0])
+        apart[k] = apart[outer[k]] or not most
+    for b in found:
+        if not b.around and apart[b.named]:
+            prose = len(b.text) > LONG and b.linked <= LINKS * sum(map(len, b.parts))
+            b.around = not (prose and _stop_density(b.text) >= STOP_HIGH)
+
+
+def _stop_density(text: str) -> float:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
 
 
 def _first_pass(b: Block) -> bool | None:
@@ -153,8 +198,7 @@ def _first_pass(b: Block) -> bool | None:
     n = len(b.text)
     if n < SHORT:
         return None if not b.linked or b.main else False
-    words = b.text.lower().split()
-    stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
+    stops = _stop_density(b.text)
     if stops >= STOP_HIGH:
         return True
     if stops >= STOP_LOW:

@@ -364,6 +364,16 @@ def test_articles_beside_the_main_text():
     assert extraction.main_text(f"<article><p>{listing}</p></article>") == listing
 
 
+def test_names_do_not_lose_the_main_text():
+    long = "The cat is on the mat and it was there for a long time with the dog that was not in the house of the man."
+    page = f"<article class='post comments-open'><h1>Title</h1><p>{long}</p></article><div class='sidebar-left'><p>{long[:60]}</p></div>"
+    for start in ("<body class='single has-sidebar'>", "<body class=sidebar>", "<div class=no-sidebar>", "<div id='search-results'>", "<div class=search>"):
+        assert extraction.main_text(start + page) == f"Title\n{long}"
+    prose = f"{long} {long}"
+    assert extraction.main_text(f"<div><p>{prose}</p><p>{long}</p></div><div class=related><p>{prose}</p><p>{long}</p></div>") == f"{prose}\n{long}\n{prose}"
+    assert extraction.main_text(f"<div><p>{long}</p></div><div class='site-footer ad-slot'><p>{long[:80]}</p></div>") == long
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     rng = random.Random(4)
