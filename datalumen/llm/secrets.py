@@ -2,8 +2,9 @@
 
 A sample of the values found by each rule (the ``SAMPLE`` distinct ones with the smallest hash, a documented bound) is
 put into a prefix tree over character classes. States whose continuations are statistically compatible (Hoeffding
-bounds) are merged until a small probabilistic automaton is left for each rule. Every long token of every text is then scored by its
-likelihood per character under the automata against random characters; tokens at or above ``THRESHOLD`` bits that no rule has found become spans too.
+bounds) are merged until a small probabilistic automaton is left for each rule. Every run of ``LEAST`` or more characters that values of the assign rule may hold is then scored by its
+likelihood per character under the automata against random characters, without the dots around it; so are its pieces between dots.
+Tokens at or above ``THRESHOLD`` bits that no rule has found become spans too, pieces only where the whole does not.
 
 Null and empty texts have no secrets. Repeated rows each get their own result. Without any credential nothing is learned and only
 the rules apply.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from datalumen.llm.common import SLICE_BYTES, documents, key, slices, unused
 from datalumen.session import checkpointed
 
-SAMPLE, CONFIDENCE, THRESHOLD, LONG = 300, 0.05, 0.5, 16
+SAMPLE, CONFIDENCE, THRESHOLD, LONG, LEAST = 300, 0.05, 0.5, 16, 12
 KINDS = ("assign", "access", "hex", "format")
 MASK = "[secret]"
 
@@ -31,8 +32,7 @@ _ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _WORDS = (b"passw", b"secret", b"token", b"api")
 _HEX = np.isin(np.arange(256), list(b"0123456789abcdef"))
-_DIGIT = np.isin(np.arange(256), list(b"0123456789"))
-_TOKEN = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"))
+_TOKEN = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"))
 
 # -- candidates -----------------------------------------------------------------------------------------------------
 
@@ -49,15 +49,30 @@ def _runs(inside: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarra
     return start[long], stop[long]
 
 
+def _pieces(raw: bytes, start: int, stop: int) -> Iterator[tuple[int, int]]:
+    """A run without the dots around it, then its pieces between dots."""
+    value = raw[start:stop]
+    if b"." not in value:
+        yield start, stop
+        return
+    a, b = stop - len(value.lstrip(b".")), start + len(value.rstrip(b"."))
+    if b - a >= LEAST:
+        yield a, b
+    if b"." in raw[a:b]:
+        for piece in raw[a:b].split(b"."):
+            if len(piece) >= LEAST:
+                yield a, a + len(piece)
+            a += len(piece) + 1
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """``doc_id, row_key, found, tokens``: rule spans ``kind, start, stop, value`` and all long tokens with a digit, in code points."""
+    """``doc_id, row_key, found, tokens``: rule spans ``kind, start, stop, value`` and the tokens to score, in code points."""
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("value", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in slices(batches):
             data, bounds = texts.data, texts.bounds
             points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-            digits = np.concatenate(([0], np.cumsum(_DIGIT[data])))
             raw = data.tobytes()
             found: list[list] = [[] for _ in range(len(texts))]
             tokens: list[list] = [[] for _ in range(len(texts))]
@@ -73,18 +88,18 @@ def scan(docs: DataFrame) -> DataFrame:
                     own, low = raw[a:b], lowered[a:b]
                     if any(w in low for w in _WORDS):
                         for m in _ASSIGN.finditer(own):
-                            if m.end(1) - m.start(1) >= 12:
+                            if m.end(1) - m.start(1) >= LEAST:
                                 add(found, i, "assign", a + m.start(), a + m.end(), m[1])
                     if b"AKIA" in own:
                         for m in _ACCESS.finditer(own):
                             if m.end() - m.start() >= 18:
                                 add(found, i, "access", a + m.start(), a + m.end(), m[0])
-            for inside, to, kind in ((_HEX, found, "hex"), (_TOKEN, tokens, "format")):
-                start, stop = _runs(inside[data], bounds, LONG)
-                some = digits[stop] > digits[start] if kind == "format" else np.ones(len(start), dtype=bool)
+            for inside, to, kind, least in ((_HEX, found, "hex", LONG), (_TOKEN, tokens, "format", LEAST)):
+                start, stop = _runs(inside[data], bounds, least)
                 row = np.searchsorted(bounds, start, side="right") - 1
-                for i, s, e in zip(row[some].tolist(), start[some].tolist(), stop[some].tolist()):
-                    add(to, i, kind, s, e, raw[s:e])
+                for i, s, e in zip(row.tolist(), start.tolist(), stop.tolist()):
+                    for a, b in _pieces(raw, s, e) if kind == "format" else ((s, e),):
+                        add(to, i, kind, a, b, raw[a:b])
             yield pa.RecordBatch.from_arrays([
                 texts.rows.column("doc_id"), texts.rows.column("row_key"),
                 pa.array([sorted(x, key=lambda s: (s["start"], KINDS.index(s["kind"]))) for x in found], pa.list_(span)),
@@ -109,6 +124,7 @@ class Format:
 
     def __init__(self, values: list[str], confidence: float = CONFIDENCE):
         self.n, self.ends, self.next, self.uses = [0], [0], [{}], [{}]
+        self.dotted = any("." in v.strip(".") for v in values)
         self._bound = math.sqrt(0.5 * math.log(2 / confidence))
         for value in values:
             state = 0
@@ -178,7 +194,9 @@ class Format:
         self.states = kept
 
     def bits(self, value: str) -> float:
-        """Bits per character by which the format explains a token better than random characters do."""
+        """Bits per character by which the format explains a token better than random characters do; none if only the token has dots inside."""
+        if "." in value and not self.dotted:
+            return -math.inf
         state, total = 0, 0.0
         for c in value:
             k = _CLASS.get(c, c)
@@ -212,14 +230,15 @@ def find_secrets(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRES
             for found, tokens in zip(batch.column("found").to_pylist(), batch.column("tokens").to_pylist()):
                 scores = [max((f.bits(t["value"]) for f in formats.values()), default=-math.inf) for t in tokens]
                 taken = iter(found)
-                own, current = [], next(taken, None)
-                for t, s in zip(tokens, scores):  # both in page order; rule spans of one start may overlap
+                own, current, end = [], next(taken, None), 0
+                for t, s in zip(tokens, scores):  # both in page order, whole runs before their pieces; rule spans of one start may overlap
                     while current and current["stop"] <= t["start"]:
                         current = next(taken, None)
-                    if s >= threshold and not (current and current["start"] < t["stop"]):
+                    if s >= threshold and t["start"] >= end and not (current and current["start"] < t["stop"]):
+                        end = t["stop"]
                         own.append({"kind": "format", "start": t["start"], "stop": t["stop"], "score": s})
                 added.append(own)
-                best.append(max(scores, default=None))
+                best.append(max((s for s in scores if s > -math.inf), default=None))
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("row_key"), batch.column("found"), pa.array(added, added_type),
                 pa.array(best, pa.float64())], names=["doc_id", "row_key", "found", "added", "best"])

@@ -336,6 +336,20 @@ def test_learned_format_finds_unlabelled_credentials(spark):
     assert added == {d for d, _ in test}
 
 
+@pytest.mark.parametrize("letters, parts", [("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", (12,)), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", (20,)), ("0123456789ABCDEF", (8, 6, 6))])
+def test_short_lettered_and_dotted_credentials_are_scored(spark, letters, parts):
+    rng = random.Random(10)
+    def key():
+        return ".".join("".join(rng.choices(letters, k=n)) for n in parts)
+    train = [(i, f"secret: {key()}") for i in range(200)]
+    test = [(1000 + i, f"see {key()}. Here") for i in range(50)]
+    plain = [(2000 + i, "internationalization www.example.org/this.that a-long-list-of-words end...") for i in range(50)]
+    docs = spark.createDataFrame(train + test + plain, "doc_id bigint, text string")
+    found = {r.doc_id: r.text for r in secrets.mask_secrets(docs).collect()}
+    assert all(found[d] == f"see {secrets.MASK}. Here" for d, _ in test)
+    assert all(found[d] == t for d, t in plain)
+
+
 @pytest.mark.parametrize("html, text", [
     (None, ""), ("", ""), ("<", ""), ("<p>a", "a"), ("plain text", "plain text"),
     ("<head><title>T</title></head><nav><a href=x>M</a></nav><article><h1>T</h1><p>a &lt;b&gt; &amp c&nbsp;<b>d</b>e<br>f</article><footer>z",
