@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datalumen.llm import (decontamination, extraction, licenses, packing, quality, secrets, sharding, simhash,
+from datalumen.llm import (conversations, decontamination, extraction, licenses, packing, quality, secrets, sharding, simhash,
                            substrings, token_counts)
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -62,6 +62,10 @@ def secret_spans(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_report(_table(spark, folder, "documents"))
 
 
+def repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.assess(conversations.damaged(_table(spark, folder, "conversations")), "present")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": html_text,
     "op2_contamination": contamination,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": near_copies,
     "op9_licenses": license_labels,
     "op10_secrets": secret_spans,
+    "op11_conversations": repaired,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -105,4 +110,5 @@ SELECT doc_id, len(words) AS n_words, len(words) - coalesce(len(kept), 0) AS n_r
   sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256
 FROM d LEFT JOIN left_over USING (r)""",
     "op9_licenses": licenses.SQL,
+    "op11_conversations": conversations.SQL,
 }
