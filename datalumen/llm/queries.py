@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datalumen.llm import (conversations, decontamination, extraction, licenses, packing, quality, secrets, sharding, simhash,
+from datalumen.llm import (alignment, conversations, decontamination, extraction, licenses, packing, quality, secrets, sharding, simhash,
                            substrings, token_counts)
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -66,6 +68,10 @@ def repaired(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.assess(conversations.damaged(_table(spark, folder, "conversations")), "present")
 
 
+def token_links(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.cross_tokenizer(_table(spark, folder, "documents"), BYTE_BPE_FILE, public_tokenizers.PATTERN, PIECES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": html_text,
     "op2_contamination": contamination,
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licenses": license_labels,
     "op10_secrets": secret_spans,
     "op11_conversations": repaired,
+    "op12_alignment": token_links,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
