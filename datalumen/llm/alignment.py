@@ -150,21 +150,19 @@ def align(a: pa.ListArray, b: pa.ListArray, first: Tokenizer, second: Tokenizer)
     """Groups and links of each document, the digest of its groups, and its distinct id pairs in order (``doc, pair, n``)."""
     n, width = len(a), len(second.entries)
     left, right = _side(a, first, "a"), _side(b, second, "b")
-    ends = left.join(right, "end", join_type="full outer").sort_by("end").combine_chunks()
-    both = pc.and_(pc.is_valid(ends["a"]), pc.is_valid(ends["b"]))
-    doc = pc.coalesce(ends["doc_a"], ends["doc_b"])
-    pair = pc.add(pc.multiply(pc.fill_null_backward(ends["a"]).cast(pa.int64()), width), pc.fill_null_backward(ends["b"]).cast(pa.int64()))
-    key = pc.bit_wise_or(pc.shift_left(doc, pa.scalar(40, pa.int64())), pair)
-    links = pa.table({"key": key}).group_by("key", use_threads=False).aggregate([([], "count_all")]).sort_by("key")
-    pairs = pa.table({"doc": pc.shift_right(links["key"], pa.scalar(40, pa.int64())),
-                      "pair": pc.bit_wise_and(links["key"], pa.scalar((1 << 40) - 1, pa.int64())), "n": links["count_all"]})
-    shared = ends.filter(both)
+    ends = left.join(right, "end", join_type="full outer", use_threads=False).combine_chunks()
+    ends = ends.take(np.argsort(ends["end"].to_numpy(), kind="stable"))
+    of_a, of_b = (pc.is_valid(ends[name]).to_numpy() for name in ("a", "b"))
+    both = of_a & of_b
+    doc = pc.coalesce(ends["doc_a"], ends["doc_b"]).to_numpy()
+    one, two = (pc.fill_null_backward(ends[name]).to_numpy().astype(np.int64) for name in ("a", "b"))
+    key, times = np.unique(doc << 40 | one * width + two, return_counts=True)
+    pairs = pa.table({"doc": key >> 40, "pair": key & (1 << 40) - 1, "n": times})
     groups = pc.binary_join_element_wise(*[
-        _joined(side[name].combine_chunks().cast(pa.string()),
-                np.flatnonzero(pc.is_in(side["end"], value_set=shared["end"].combine_chunks()).to_numpy()) + 1, ",")
-        for side, name in ((left, "a"), (right, "b"))], "|")
-    n_groups = np.bincount(shared["doc_a"].to_numpy(), minlength=n)
-    n_links = np.bincount(doc.to_numpy(), minlength=n)
+        _joined(side.combine_chunks().cast(pa.string()), np.flatnonzero(both[own]) + 1, ",")
+        for side, own in ((left["a"], of_a), (right["b"], of_b))], "|")
+    n_groups = np.bincount(doc[both], minlength=n)
+    n_links = np.bincount(doc, minlength=n)
     lines = _joined(groups, np.cumsum(n_groups), ";")
     digests = pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in lines.cast(pa.binary())], pa.string())
     return [n_groups, n_links], digests, pairs
@@ -193,7 +191,7 @@ def aligned(docs: DataFrame, first: str, pattern: str, second: str) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = tokenizers(first, pattern, second)
-        for texts in slices(batches, limit=8 * SLICE_BYTES):
+        for texts in slices(batches, limit=4 * SLICE_BYTES):
             yield _rows(texts, one, two)
 
     return documents(docs).mapInArrow(run, f"{_COLUMNS}, ones binary, twos binary, times binary")
