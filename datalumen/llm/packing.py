@@ -13,6 +13,7 @@ Null and empty texts are the closing id alone. Repeated rows are packed each. An
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -56,14 +57,16 @@ class Encoder:
     """Ids of texts by a word BPE file, equal to its tokenizer's.
 
     Words of plain and Latin-1 letters, digits and signs are cut out as arrays and each new word goes through the BPE model once; any
-    other text (apostrophes, other scripts, control characters) goes through the tokenizer as a whole.
+    other text (apostrophes, other scripts, control characters, what may be a special token) goes through the tokenizer as a whole,
+    and so does one with a word that shares its hash with another word of the slice.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        special = {t["content"].encode()[:2] for t in json.loads(self.whole.to_str())["added_tokens"]}
+        self.special = [(t[0], t[-1]) for t in sorted(special)]
         self.model = self.whole.model
         self.known: dict[bytes, bytes] = {}
         letters = _byte_letters()
@@ -87,6 +90,8 @@ class Encoder:
         kind = _KIND[data]
         kind[accent] = _LETTER
         kind[:-1][accent[1:]] = _LETTER
+        for one, two in self.special:
+            kind[:-1][(data[:-1] == one) & (data[1:] == two)] = _UNKNOWN
         odd = np.concatenate(([0], np.cumsum(kind == _UNKNOWN)))
         plain = np.diff(odd[bounds]) == 0
         low = _LOWER[data]
@@ -101,9 +106,11 @@ class Encoder:
         if len(start):
             hashes = Sequences(low.astype(np.uint64) + np.uint64(1), 0).of(start, stop)
             _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+            text_of = np.repeat(np.arange(len(texts)), np.diff(first))
+            plain[text_of[_unlike(low, start, stop, one[which])]] = False
             raw, known = low.tobytes(), self.known
             use = np.zeros(len(one), dtype=bool)
-            use[which[np.repeat(plain, np.diff(first))]] = True  # words of other texts may be cut wrongly
+            use[which[plain[text_of]]] = True  # words of other texts may be cut wrongly
             made = []
             for s, e, u in zip(start[one].tolist(), stop[one].tolist(), use.tolist()):
                 word = raw[s:e]
@@ -124,6 +131,18 @@ class Encoder:
         return out
 
 
+def _unlike(data: np.ndarray, start: np.ndarray, stop: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which spans differ from the span whose number is given beside them."""
+    size = stop - start
+    apart = size != size[other]
+    size = np.where(apart, 0, size)
+    first = np.cumsum(size) - size
+    within = np.arange(int(size.sum())) - np.repeat(first, size)
+    wrong = data[within + np.repeat(start, size)] != data[within + np.repeat(start[other], size)]
+    apart[np.repeat(np.arange(len(size)), size)[wrong]] = True
+    return np.flatnonzero(apart)
+
+
 def _at(bounds: np.ndarray, n: int) -> np.ndarray:
     edge = np.zeros(n + 1, dtype=bool)
     edge[bounds] = True

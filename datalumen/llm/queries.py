@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from datalumen.llm import (alignment, conversations, decontamination, extraction, licenses, packing, quality, secrets, sharding, simhash,
-                           substrings, token_counts)
+from datalumen.llm import (alignment, conversations, decontamination, extraction, licenses, packing, quality, retrieval_packing, secrets,
+                           sharding, simhash, substrings, token_counts)
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -72,6 +72,10 @@ def token_links(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.cross_tokenizer(_table(spark, folder, "documents"), BYTE_BPE_FILE, public_tokenizers.PATTERN, PIECES)
 
 
+def packed_with_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval_packing.pack(_table(spark, folder, "documents"), WORD_BPE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": html_text,
     "op2_contamination": contamination,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": secret_spans,
     "op11_conversations": repaired,
     "op12_alignment": token_links,
+    "op13_retrieval_packing": packed_with_neighbours,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

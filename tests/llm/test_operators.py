@@ -204,7 +204,6 @@ def test_packing(docs, nothing):
     from tokenizers import Tokenizer
     path = public_tokenizers.path("word_bpe_49k.json")
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     found = packing.pack(docs, path, with_ids=True).collect()
     expected = Counter()
     for doc, text, *_ in rows():
