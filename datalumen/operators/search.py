@@ -2,31 +2,25 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-from itertools import chain
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datalumen.functions import fixed
 from datalumen.functions.columns import any_of, col, strip
-from datalumen.session import checkpointed, scratch_path
+from datalumen.operators.facing import HIT_SCHEMA
+from datalumen.operators.nearest import SAMPLE, VectorIndex, build_index, exact
+from datalumen.operators.ranking import bm25
+from datalumen.session import checkpointed
 
-# Chunk sizes and ranking constants.
+# Chunk sizes.
 CHUNK = 3000
 OVERLAP = 200
-K1, B, FLOOR = 1.5, 0.75, 0.25
 
-QUERY_BLOCK = 256
-QUERY_WORDS = 20_000
-DOC_BLOCK = 256
-DOC_CELLS = 4_000_000
-HIT_SCHEMA = "query_id bigint, doc_id bigint, score double"
+#: Queries, and words of all their texts, that a task holds at once.
+QUERY_BLOCK = 16_384
+QUERY_WORDS = 2_000_000
 
 
 def chunk_documents(docs: DataFrame, key: str, text: str, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -44,140 +38,17 @@ def tokens(c: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"\s+"))
 
 
-def _blocks(queries: DataFrame, payload: str, cells: int) -> Iterator[list]:
-    """The queries in blocks of bounded count and size; the driver holds one block at a time."""
-    block, size = [], 0
-    for row in queries.toLocalIterator():
-        cost = len(row[payload] or ())
-        if block and (len(block) == QUERY_BLOCK or size + cost > cells):
-            yield block
-            block, size = [], 0
-        block.append(row)
-        size += cost
-    if block:
-        yield block
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, held: list | None, k: int) -> list:
-    """The k best ``(ids, scores)`` per column, ties to the smaller id, merged with the ones held so far."""
-    by_id = np.argsort(ids, kind="stable")
-    ids, scores = ids[by_id], np.round(scores[by_id], 6)
-    top = np.argsort(-scores, axis=0, kind="stable")[:k]
-    found = [(ids[top[:, q]], scores[top[:, q], q]) for q in range(scores.shape[1])]
-    if held is None:
-        return found
-    merged = []
-    for (a, x), (b, y) in zip(held, found):
-        i, s = np.concatenate([a, b]), np.concatenate([x, y])
-        order = np.lexsort((i, -s))[:k]
-        merged.append((i[order], s[order]))
-    return merged
-
-
-def _hits(best: list, query_ids: list, positive: bool) -> pa.RecordBatch:
-    q = np.concatenate([np.full(len(i), qid, dtype="int64") for qid, (i, _) in zip(query_ids, best)])
-    i = np.concatenate([i for i, _ in best]).astype("int64")
-    s = np.concatenate([s for _, s in best]).astype("float64")
-    keep = s > 0 if positive else np.ones(len(s), dtype=bool)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(q[keep]), pa.array(i[keep]), pa.array(s[keep])], names=["query_id", "doc_id", "score"])
-
-
-def _top(hits: DataFrame, k: int) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return hits.withColumn("rank", place.cast("bigint")).filter(F.col("rank") <= k)
-
-
-def _all_blocks(spark: SparkSession, blocks: Iterator[DataFrame], k: int) -> DataFrame:
-    """The hits of all blocks of queries. One block stays lazy; of several, each is scored and written to the shared folder
-    before the next is read, so neither the plan nor the driver grows with the queries.
-    """
-    first = next(blocks, None)
-    if first is None:
-        return _top(spark.createDataFrame([], HIT_SCHEMA), k)
-    second = next(blocks, None)
-    if second is None:
-        return _top(first, k)
-    path = scratch_path(spark, "hits")
-    for block in chain([first, second], blocks):
-        _top(block, k).drop("rank").write.mode("append").parquet(path)
-    return _top(spark.read.schema(HIT_SCHEMA).parquet(path), k)
-
-
 def bm25_topk(
     queries: DataFrame, query_id: str, query_text: str, docs: DataFrame, doc_id: str, doc_text: str, k: int = 4,
 ) -> DataFrame:
     """The k best documents per query by BM25 over white-space tokens; a document must score above 0.
 
-    Term counts are an ordinary aggregation. Scoring goes over the corpus once per block of queries:
-    each task multiplies its term weights with the block and keeps only its own k best per query, so no
-    (query, document) pairs are shuffled. Queries are read in blocks of a fixed size; a null text has no words.
+    Words are counted in one pass and documents scored in one more, for any number of queries; a null text has no words. Rows with
+    one query id are one query, and queries without an id are left out.
     """
-    corpus = docs.select(col(doc_id).cast("bigint").alias("doc_id"), tokens(col(doc_text)).alias("terms"))
-    size = corpus.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl")).first()
-    n, avgdl = size["n"], size["avgdl"] or 1.0
-    df = corpus.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    spark = docs.sparkSession
+    corpus = docs.select(col(doc_id).cast("bigint").alias("id"), col(doc_text).cast("string").alias("text"))
     asked = queries.select(col(query_id).cast("bigint").alias("id"), tokens(col(query_text)).alias("terms"))
-    return _all_blocks(spark, _scored_blocks(corpus, df, _blocks(asked, "terms", QUERY_WORDS), n, avgdl, k), k)
-
-
-def _scored_blocks(corpus: DataFrame, df: DataFrame, blocks: Iterator[list], n: int, avgdl: float, k: int) -> Iterator[DataFrame]:
-    """The hits of one block of queries after the other."""
-    spark = corpus.sparkSession
-    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    mean = None
-    for number, block in enumerate(blocks):
-        if number == 1:
-            # More than one block: the counts are written down once instead of being counted per block.
-            df = checkpointed(df)
-        words = sorted({t for row in block for t in row["terms"] or ()})
-        if not words:
-            continue
-        vocab = spark.createDataFrame([(t,) for t in words], "term string")
-        known = df.join(F.broadcast(vocab.withColumn("_asked", F.lit(True))), "term", "left")
-        # Bounded by the words of one block of queries.
-        picked = F.collect_list(F.when(F.col("_asked"), F.struct("term", "df")))
-        if mean is None:
-            row = known.agg(F.avg(idf).alias("mean"), picked.alias("terms")).first()
-            mean = row["mean"] or 0.0
-        else:
-            row = known.filter("_asked").agg(picked.alias("terms")).first()
-        weights = {}
-        for term, count in row["terms"]:
-            value = math.log((n - count + 0.5) / (count + 0.5))
-            weights[term] = value if value >= 0 else FLOOR * mean
-        yield _score_block(corpus, block, sorted(weights), weights, avgdl, k)
-
-
-def _score_block(corpus: DataFrame, block: list, vocab: list[str], weights: dict, avgdl: float, k: int) -> DataFrame:
-    place = {t: i for i, t in enumerate(vocab)}
-    matrix = np.zeros((len(vocab), len(block)))
-    for q, row in enumerate(block):
-        for t in row["terms"] or ():
-            if t in place:
-                matrix[place[t], q] += weights[t]
-    query_ids = [row["id"] for row in block]
-    step = max(1, min(DOC_BLOCK, DOC_CELLS // len(vocab))) if vocab else DOC_BLOCK
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held = pa.array(vocab, pa.string()), None
-        for batch in batches:
-            for start in range(0, batch.num_rows, step):
-                part = batch.slice(start, step)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                lists = part.column(1).cast(pa.list_(pa.string()))
-                length = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
-                term = pc.fill_null(pc.index_in(lists.flatten(), value_set=words), -1).to_numpy(zero_copy_only=False)
-                doc = np.repeat(np.arange(len(ids)), length)
-                cells = doc[term >= 0] * len(vocab) + term[term >= 0]
-                tf = np.bincount(cells, minlength=len(ids) * len(vocab)).reshape(len(ids), len(vocab))
-                norm = K1 * (1 - B + B * length / avgdl)
-                held = _best((tf * (K1 + 1) / (tf + norm[:, None])) @ matrix, ids, held, k)
-        if held is not None:
-            yield _hits(held, query_ids, positive=True)
-
-    return corpus.mapInArrow(score, HIT_SCHEMA)
+    return bm25(asked, corpus, k, QUERY_BLOCK, QUERY_WORDS)
 
 
 def _vectors(rows: DataFrame, key: str, vector: str, name: str) -> DataFrame:
@@ -206,39 +77,40 @@ def centroids(vectors: DataFrame, group: str, vector: str, size: int | None = No
     return means.select(F.col("_group").alias(group), F.array(*[f"_{i}" for i in range(size)]).cast("array<double>").alias(vector))
 
 
+def _asked(queries: DataFrame, query_id: str, query_vector: str) -> tuple[DataFrame, int, int]:
+    """The queries as ``id, v``, the size of their vectors (0 without any), and how many there are."""
+    asked = _vectors(queries, query_id, query_vector, "id").where("id IS NOT NULL")
+    size = asked.agg(F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high"), F.count("*").alias("n")).first()
+    if size["low"] != size["high"]:
+        raise ValueError(f"the query vectors have different sizes: {size['low']} to {size['high']}")
+    return asked, size["low"] or 0, size["n"]
+
+
 def vector_topk(
     queries: DataFrame, query_id: str, query_vector: str, vectors: DataFrame, vector_id: str, vector: str, k: int = 5,
 ) -> DataFrame:
-    """The k nearest vectors per query by cosine; one pass per block of queries, k rows per query and task.
+    """The k nearest vectors per query by cosine, exactly, in one pass of the vectors.
 
     Rows without a vector, and those with a null inside it, are left out on both sides; vectors of different sizes are an error.
     """
-    rows = _vectors(vectors, vector_id, vector, "doc_id")
-    blocks = _blocks(_vectors(queries, query_id, query_vector, "id"), "v", 1_000_000)
-    return _all_blocks(vectors.sparkSession, (_nearest_block(rows, block, k) for block in blocks), k)
-
-
-def _nearest_block(rows: DataFrame, block: list, k: int) -> DataFrame:
-    query_ids = [r["id"] for r in block]
-    sizes = sorted({len(r["v"]) for r in block})
-    if len(sizes) > 1:
-        raise ValueError(f"the query vectors have different sizes: {sizes}")
-    target = np.array([r["v"] for r in block], dtype="float64")
-    target = target / np.maximum(np.linalg.norm(target, axis=1, keepdims=True), 1e-300)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            data = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-            data = data / np.maximum(np.linalg.norm(data, axis=1, keepdims=True), 1e-300)
-            held = _best(data @ target.T, ids, held, k)
-        if held is not None:
-            yield _hits(held, query_ids, positive=False)
-
-    return rows.select("doc_id", _of_size(sizes[0]).alias("v")).mapInArrow(score, HIT_SCHEMA)
+    asked, size, n = _asked(queries, query_id, query_vector)
+    rows = _vectors(vectors, vector_id, vector, "id")
+    if size:
+        rows = rows.select("id", _of_size(size).alias("v"))
+    return exact(asked, n, rows, vectors.count(), k, QUERY_BLOCK)
+
+
+def vector_index(vectors: DataFrame, vector_id: str, vector: str, buckets: int | None = None, sample: int = SAMPLE, path: str | None = None) -> VectorIndex:
+    """An index of all vectors for ``vector_index_topk``; it can be searched any number of times."""
+    rows = _vectors(vectors, vector_id, vector, "id")
+    size = rows.agg(F.max(F.size("v"))).first()[0]
+    return build_index(rows.select("id", _of_size(size).alias("v")) if size else rows, buckets, sample, path)
+
+
+def vector_index_topk(queries: DataFrame, query_id: str, query_vector: str, index: VectorIndex, k: int = 5, probes: int | None = None) -> DataFrame:
+    """The k nearest vectors per query among those in its ``probes`` nearest buckets (a quarter of all, at least 16, unless given)."""
+    asked, _, _ = _asked(queries, query_id, query_vector)
+    return index.search(asked, k, probes or max(16, len(index.centres) // 4))
 
 
 def vector_mmr(

@@ -79,6 +79,13 @@ ANY_WORD = " OR ".join(f"contains(lower(text), '{w}')" for w in QUESTION.split()
 LONG_WORD = " OR ".join(f"contains(lower(x), '{w}')" for w in QUESTION.split() if len(w) > 3)
 
 
+@query("vector_index_topk")
+def vector_index_topk(t: Tables) -> DataFrame:
+    """Every vector whose id is divisible by 100 against an index of all; without SQL, as an index may miss a neighbour."""
+    index = search.vector_index(t.embeddings, "vec_id", "embedding")
+    return search.vector_index_topk(t.embeddings.where("vec_id % 100 = 0"), "vec_id", "embedding", index, 10)
+
+
 @query("keyword_search", f"""
 SELECT doc_id, CAST(length(text) AS INT) AS length FROM documents WHERE {ANY_WORD} ORDER BY doc_id LIMIT 5""")
 def keyword_search(t: Tables) -> DataFrame:
