@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from datalumen.operators.ordered import framed, numbered, ranked, tiles
+from datalumen.operators import quantiles as narrowing
 from datalumen.operators.quantiles import quantiles
 
 
@@ -66,6 +67,16 @@ def test_quantiles_by_position_equal_percentile(rows, by):
     assert not math.isnan(flat(plain).first()[len(by)])
 
 
+@pytest.mark.parametrize("by", [["g"], []])
+def test_quantiles_by_narrowing_equal_percentile(rows, by, monkeypatch):
+    monkeypatch.setattr(narrowing, "PICK", 4)
+    monkeypatch.setattr(narrowing, "SPLITS", 12)
+    data = rows.select("g", "v", (F.col("v") * 3 - 7).alias("w")).union(rows.select("g", F.lit(2.5), F.lit(1.0)))
+    data = data.union(data).union(data).union(data)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    same(quantiles(data, ["v", "w"], probs, by, limit=15), quantiles(data, ["v", "w"], probs, by))
+
+
 def test_estimated_quantiles_are_near(rows):
     exact = quantiles(rows, ["v"], [0.25, 0.5], ["g"]).orderBy("g").collect()
     near = quantiles(rows, ["v"], [0.25, 0.5], ["g"], accuracy=10_000).orderBy("g").collect()
