@@ -4,10 +4,13 @@ Markup is cut into blocks. The first pass decides by length, link density and st
 stay ambiguous. The second pass gives those the label of the nearest decided neighbours; at equal distance from a good
 and a bad one a block is kept inside an article or main element and dropped elsewhere. Neighbours count only in the same element, and what is set
 apart by its markup (menus, notices and the like) is nobody's neighbour. A class, id or role sets apart by whole tokens only, never html, body
-or main and no holder of most of the page's text (if this is over 200 characters, or all there is), and not long prose with many stop words and few links. Where no neighbour is decided, blocks are kept if no block of the page
+or main, and no holder of most of the page's text that leaves less than a long block outside (it is over 200 characters, or all there is). Where no neighbour is decided, blocks are kept if no block of the page
 is good, and of these only those in articles and main elements if there are any. Beyond these ties an article or main element only
 keeps a short block with links, or one with few stop words, ambiguous, and takes medium stop-word density as enough at any length.
 
+Stop words are listed for four languages. Of a block with few of them nothing is known but its form: sentences in small letters (or
+in a script without capitals) are good if long, else ambiguous; anything else counts as no prose. Signs of Chinese, Japanese and Korean count three times in lengths.
+
 Null and empty pages give an empty text. Repeated rows each get their own result.
 """
 
@@ -65,6 +68,9 @@ _MARKUP = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*+>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+(?:>|\Z)|</?\Z", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+_ENDS = re.compile(r"""[.!?…][)"'»”’]*(?=\s|\Z)|[。！？｡।؟۔։።]""")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_DENSE = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af]")
 _PARTS = re.compile(r"[^a-z]+")
 _WHITE = re.compile(r"\s+")
 
@@ -169,7 +175,7 @@ def blocks(html: str) -> list[Block]:
 
 
 def _undo_names(found: list[Block], outer: list[int]) -> None:
-    """Names do not count for holders of most of the page's text, nor for long prose."""
+    """Names do not count for holders of most of the page's text."""
     held = [0] * len(outer)
     for b in found:
         if not b.around:
@@ -178,12 +184,10 @@ def _undo_names(found: list[Block], outer: list[int]) -> None:
         held[outer[k]] += held[k]
     apart = [False] * len(outer)
     for k in range(1, len(outer)):
-        most = 2 * held[k] > held[0] and (held[k] > LONG or held[k] == held[0])
+        most = 2 * held[k] > held[0] and held[0] - held[k] < LONG and (held[k] > LONG or held[k] == held[0])
         apart[k] = apart[outer[k]] or not most
     for b in found:
-        if not b.around and apart[b.named]:
-            prose = len(b.text) > LONG and b.linked <= LINKS * sum(map(len, b.parts))
-            b.around = not (prose and _stop_density(b.text) >= STOP_HIGH)
+        b.around = b.around or apart[b.named]
 
 
 def _stop_density(text: str) -> float:
@@ -191,11 +195,18 @@ def _stop_density(text: str) -> float:
     return sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
 
 
+def _sentences(text: str) -> bool:
+    """Whether a text of unknown language has the form of prose: sentence ends, and most words in small letters."""
+    ends = len(_ENDS.findall(text))
+    words = [w for w in _LETTERS.findall(text) if w.lower() != w.upper()]
+    return ends * 400 >= len(text) and sum(w[0].islower() for w in words) * 2 >= len(words)
+
+
 def _first_pass(b: Block) -> bool | None:
     """Good, bad or ambiguous by the block itself."""
     if b.around or b.linked > LINKS * max(1, sum(map(len, b.parts))):
         return False
-    n = len(b.text)
+    n = len(b.text) + 2 * len(_DENSE.findall(b.text))
     if n < SHORT:
         return None if not b.linked or b.main else False
     stops = _stop_density(b.text)
@@ -203,6 +214,8 @@ def _first_pass(b: Block) -> bool | None:
         return True
     if stops >= STOP_LOW:
         return True if n > LONG or b.main else None
+    if _sentences(b.text):
+        return True if n > LONG else None
     return None if b.main else False
 
 

@@ -2,11 +2,8 @@
 
 Lines are normalised (A-Z lowered, white space runs become one space) and hashed. Documents of a host are counted by a
 hash of the whole text, so exact copies count once. A line held by more documents than ``max(least, share * documents
-of the host)`` is a candidate. Candidates are counted again by contents: a document is a content of its own if at least
-half of the ``SKETCH`` smallest shingle hashes of its other lines occur in no other document's sketch; otherwise it is a
-near copy, and counts under the rarest candidate line that it holds. So pages that share nearly all their lines count each, and
-a text in thousands of edited copies is left to deduplication and not mistaken for page furniture. A candidate with more
-contents than the limit is frequent. Frequent lines are removed; a document that loses more than ``depleted`` of its words is rejected.
+of the host)`` is frequent. Frequent lines are removed; a document that loses more than ``depleted`` of its words is rejected. A text
+in thousands of edited copies counts as often as it is edited.
 
 Null and empty texts have no words and fail the base rules. Rows without a host form a host of their own. Repeated
 rows each get their own result.
@@ -22,16 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datalumen.llm.common import PLAIN, SLICE_BYTES, Sequences, Texts, documents, key, marked, slices, unused
+from datalumen.llm.common import PLAIN, SLICE_BYTES, Sequences, documents, key, marked, slices, unused
 from datalumen.session import checkpointed
 
-LEAST, SHARE, DEPLETED, SKETCH = 20, 0.005, 0.8, 8
+LEAST, SHARE, DEPLETED = 20, 0.005, 0.8
 MIN_WORDS, MAX_REPEATED = 20, 0.3
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-_LINES = pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int32()), ("shingles", pa.list_(pa.int64()))]))
-_LOWER = PLAIN.copy()
-_LOWER[65:91] += 32
+_LINES = pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int32())]))
 
 
 def _signed(h: int) -> int:
@@ -43,41 +38,17 @@ def normalised(line: bytes) -> int:
     return _signed(xxhash.xxh64_intdigest(b" ".join(line.lower().split())))
 
 
-def _lines(text: bytes, shingles: Iterator[list[int]]) -> tuple[int, list[dict]]:
-    """Repeated lines, and hash, words in all and smallest shingles of each distinct normalised line."""
+def _lines(text: bytes) -> tuple[int, list[dict]]:
+    """Repeated lines, and hash and words in all of each distinct normalised line."""
     seen, repeated, words = set(), 0, {}
     for line in text.split(b"\n"):
         n = len(line.split())
         if n:
             repeated += line in seen
             seen.add(line)
-            own, h = next(shingles), normalised(line)
-            if h in words:
-                words[h]["words"] += n
-            else:
-                words[h] = {"line": h, "words": n, "shingles": own}
-    return repeated, list(words.values())
-
-
-def _smallest_shingles(texts: Texts) -> Iterator[list[int]]:
-    """The ``SKETCH`` smallest hashes of three lowered words running, for each line with words."""
-    words = texts.words(_LOWER)
-    if not len(words):
-        return
-    line = np.cumsum(texts.data == 10)[words.start] + words.text_of()
-    _, first, line, size = np.unique(line, return_index=True, return_inverse=True, return_counts=True)
-    start, last = np.arange(len(words)), (first + size)[line]
-    full = (start + 3 <= last) | (start == first[line])
-    hashes = Sequences(words.hashes(), 1).of(start, np.minimum(start + 3, last))[full].view(np.int64)
-    line = line[full]
-    order = np.lexsort((hashes, line))
-    hashes, line = hashes[order], line[order]
-    new = np.ones(len(line), dtype=bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
-    hashes, line = hashes[new], line[new]
-    bounds = np.searchsorted(line, np.arange(len(first) + 1))
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        yield hashes[a:min(b, a + SKETCH)].tolist()
+            h = normalised(line)
+            words[h] = words.get(h, 0) + n
+    return repeated, [{"line": h, "words": n} for h, n in words.items()]
 
 
 def _repeats(hashes: np.ndarray) -> np.ndarray:
@@ -102,8 +73,7 @@ def measures(docs: DataFrame) -> DataFrame:
             repeated = np.concatenate(([0], np.cumsum(marked(len(words), hit, hit + 8))))
             points = np.concatenate(([0], np.cumsum(((texts.data & 0xC0) != 0x80) & (words.code != 0))))
             symbols = np.concatenate(([0], np.cumsum(_SYMBOL[texts.data])))
-            smallest = _smallest_shingles(texts)
-            lines = [_lines(texts.raw(i), smallest) for i in range(len(texts))]
+            lines = [_lines(texts.raw(i)) for i in range(len(texts))]
             content = [_signed(xxhash.xxh64_intdigest(texts.raw(i))) for i in range(len(texts))]
             of = lambda sums, bounds: pa.array(np.diff(sums[bounds]))
             yield pa.RecordBatch.from_arrays([
@@ -114,7 +84,7 @@ def measures(docs: DataFrame) -> DataFrame:
 
     return key(documents(docs, "source")).mapInArrow(
         run, "doc_id bigint, row_key bigint, host string, " + ", ".join(f"{c} bigint" for c in _COUNTS)
-        + ", content bigint, lines array<struct<line:bigint,words:int,shingles:array<bigint>>>")
+        + ", content bigint, lines array<struct<line:bigint,words:int>>")
 
 
 def frequent_lines(measured: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
@@ -124,33 +94,7 @@ def frequent_lines(measured: DataFrame, least: int = LEAST, share: float = SHARE
     sizes = measured.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("docs"))
     limits = checkpointed(sizes.select(F.col("host").alias("of"), F.greatest(F.lit(float(least)), F.col("docs") * share).alias("limit")))
     some = checkpointed(counts)
-    candidates = checkpointed(some.join(limits, some["host"] == limits["of"]).where("n > limit").select("host", "line", "n", "limit"))
-    # One row of each distinct text that holds candidates.
-    held = measured.select("row_key", "host", "content", F.explode("lines.line").alias("line")).join(candidates, ["host", "line"])
-    held = checkpointed(held.groupBy("host", "content").agg(
-        F.min("row_key").alias("row_key"), F.collect_set(F.struct("n", "line", "limit")).alias("held")))
-    joined = measured.select("row_key", "host", "lines").join(
-        held.select("row_key", "host", "content", F.col("held.line").alias("candidates")), ["row_key", "host"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for lines, known in zip(batch.column("lines").to_pylist(), map(set, batch.column("candidates").to_pylist())):
-                found.append(sorted({h for x in lines if x["line"] not in known for h in x["shingles"]})[:SKETCH])
-            yield pa.RecordBatch.from_arrays([
-                batch.column("host"), batch.column("content"), pa.array(found, pa.list_(pa.int64()))], names=["host", "content", "sketch"])
-
-    sketches = joined.select("host", "content", "lines", "candidates").mapInArrow(run, "host bigint, content bigint, sketch array<bigint>").select("host", "content", F.explode("sketch").alias("h"))
-    sketches = checkpointed(sketches.distinct())
-    alone = sketches.groupBy("host", "h").agg(F.count("*").alias("n"), F.min("content").alias("content"))
-    own = alone.where("n = 1").groupBy("host", "content").agg(F.count("*").alias("own"))
-    sizes = sketches.groupBy("host", "content").agg(F.count("*").alias("size"))
-    own = checkpointed(sizes.join(own, ["host", "content"]).where("own * 2 >= size").select("host", "content", F.lit(True).alias("is_own")))
-    named = held.join(own, ["host", "content"], "left").withColumn(
-        "identity", F.when(F.col("is_own"), F.col("content")).otherwise(F.array_min("held")["line"]))
-    per = named.select("host", "identity", F.explode("held").alias("x")).select("host", "identity", "x.line", "x.limit").distinct()
-    contents = per.groupBy("host", "line", "limit").agg(F.count("*").alias("contents"))
-    return contents.where("contents > limit").select("host", "line")
+    return some.join(limits, some["host"] == limits["of"]).where("n > limit").select("host", "line")
 
 
 def assess(docs: DataFrame, least: int = LEAST, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
