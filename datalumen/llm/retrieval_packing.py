@@ -1,12 +1,12 @@
 """Packing of documents with their lexical neighbours: a sharded BM25 index over token ids fills the window of each seed.
 
-Texts are tokenized once and written to the shared folder with a signature. A signature has the signs of a document's summed
-id weights along random directions; a later id of the vocabulary is a rarer one and weighs more. Rows are range-partitioned by signature
-and row number, so that a task holds documents that are alike, a group of copies is split like any other rows, and no key is hot. Document
-frequencies of all ids (at most one number for each entry of the vocabulary) are counted over all documents.
+Texts are tokenized once, cut into whole windows and a rest, and written to the shared folder. A whole window is a sequence and moves no
+more. A rest has its document's signature: the signs of the summed weights of its ids along random directions; a later id of the
+vocabulary is a rarer one and weighs more. Rests are range-partitioned by signature and row number, so that a task holds documents that
+are alike, a group of copies is split like any other rows, and no key is hot. Frequencies of all ids (at most one number for
+each entry of the vocabulary) are counted over all windows and rests.
 
-A task goes through its rows in shards of bounded size. Whole windows of long documents are cut off first; what is left of
-each document enters the shard's inverted index (postings by id, with BM25 weights). Seeds are taken in order; the index returns the
+A task goes through its rests in shards of bounded size. They enter the shard's inverted index (postings by id, with BM25 weights). Seeds are taken in order; the index returns the
 unused documents by score, and they fill the seed's window greedily. The one that does not fit is cut, and its rest stays unused. So every
 window is full. What cannot fill one goes on to the next shard; at the end of a task the last rest is cut into sequences
 whose lengths are powers of two, which need no padding.
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ from datalumen.session import scratch_path
 SIZE, CLOSING = 2048, 1
 # Usual BM25 constants; tokens of a shard and of a task; bits of a signature.
 K1, B = 1.5, 0.75
-SHARD_TOKENS, TASK_TOKENS, BITS = 1 << 19, 1 << 22, 32
+SHARD_TOKENS, TASK_TOKENS, BITS = 1 << 19, 1 << 22, 16
 _SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -43,25 +44,32 @@ def _directions(entries: int) -> np.ndarray:
     return (signs * np.log2(2.0 + np.arange(entries))[:, None] ** 2).astype(np.float32)
 
 
-def tokenized(docs: DataFrame, path: str, closing: int = CLOSING) -> DataFrame:
-    """``doc_id, ids, signature``: the closed ids of each text as little-endian bytes, and where it belongs."""
+def tokenized(docs: DataFrame, path: str, size: int = SIZE, closing: int = CLOSING) -> DataFrame:
+    """``doc_id, start, doc_tokens, ids, ids_crc32, signature``: whole windows, and the rest of each document without a checksum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(path)
         entries = max(known.whole.get_vocab_size(), closing + 1)
         kind, along = np.min_scalar_type(entries - 1), _directions(entries)
+        end = np.array([closing], dtype="<u4").tobytes()
         for texts in slices(batches, limit=4 * SLICE_BYTES):
-            ids, signatures = [], []
-            for raw in known.encode(texts):
-                own = np.frombuffer(raw, dtype="<u4").astype(kind)
-                ids.append(np.append(own, kind.type(closing)).tobytes())
-                each, n = np.unique(own, return_counts=True)
-                bits = np.sqrt(n.astype(np.float32)) @ along[each] > 0
-                signatures.append(int(np.packbits(bits).view(">u4")[0]))
-            yield pa.RecordBatch.from_arrays(
-                [texts.rows.column("doc_id"), pa.array(ids, pa.binary()), pa.array(signatures, pa.int64())], names=["doc_id", "ids", "signature"])
-
-    return documents(docs).mapInArrow(run, "doc_id bigint, ids binary, signature bigint")
+            rows: list[tuple] = []
+            for i, raw in enumerate(known.encode(texts)):
+                own, whole = np.frombuffer(raw, dtype="<u4"), raw + end
+                bits = np.ones(len(own), dtype=np.float32) @ along.take(own, axis=0) > 0
+                signature, total = int(np.packbits(bits).view(">u2")[0]), len(own) + 1
+                ids = np.frombuffer(whole, dtype="<u4").astype(kind)
+                for at in range(0, total, size):
+                    full = at + size <= total
+                    rows.append((i, at, total, ids[at:at + size].tobytes(), zlib.crc32(whole[4 * at:4 * (at + size)]) if full else None, signature))
+            columns = list(zip(*rows))
+            yield pa.RecordBatch.from_arrays([
+                texts.rows.column("doc_id").take(pa.array(columns[0], pa.int64())), *[pa.array(c, pa.int64()) for c in columns[1:3]],
+                pa.array(columns[3], pa.binary()), *[pa.array(c, pa.int64()) for c in columns[4:]]],
+                names=["doc_id", "start", "doc_tokens", "ids", "ids_crc32", "signature"])
+
+    return documents(docs).mapInArrow(
+        run, "doc_id bigint, start bigint, doc_tokens bigint, ids binary, ids_crc32 bigint, signature bigint")
 
 
 def _kind(path: str, closing: int) -> tuple[int, np.dtype]:
@@ -70,15 +78,22 @@ def _kind(path: str, closing: int) -> tuple[int, np.dtype]:
 
 
 def frequencies(rows: DataFrame, entries: int, kind: np.dtype) -> tuple[np.ndarray, int, int]:
-    """How many documents hold each id, how many documents and tokens there are; at most ``entries`` rows reach the driver."""
+    """How many rows hold each id, how many rows and tokens there are; at most ``entries`` rows reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, docs, tokens = np.zeros(entries, dtype=np.int64), 0, 0
         for batch in batches:
-            for cell in batch.column("ids"):
-                ids = np.frombuffer(cell.as_buffer(), dtype=kind)
-                held[np.unique(ids)] += 1
-                tokens += len(ids)
+            if not batch.num_rows:
+                continue
+            cells = batch.column("ids")
+            sizes = pc.binary_length(cells).to_numpy() // kind.itemsize
+            ids = np.frombuffer(b"".join(cells.to_pylist()), dtype=kind)
+            # Each id of a row once.
+            key = np.sort(np.repeat(np.arange(len(sizes), dtype=np.int64) << 32, sizes) | ids)
+            first = np.ones(len(key), dtype=bool)
+            first[1:] = key[1:] != key[:-1]
+            held += np.bincount(key[first] & 0xFFFFFFFF, minlength=entries)
+            tokens += len(ids)
             docs += batch.num_rows
         ids = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(ids, [-1, -2])), pa.array(np.append(held[ids], [docs, tokens]))], names=["id", "n"])
@@ -128,7 +143,8 @@ class Index:
 
     def ranked(self, ids: np.ndarray) -> np.ndarray:
         """All parts, best first; ties in order."""
-        ids = np.unique(ids)
+        ids = np.sort(ids)
+        ids = ids[np.concatenate(([True], ids[1:] != ids[:-1]))]
         low, n = self.first[ids], self.first[ids + 1] - self.first[ids]
         at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
         return np.argsort(-np.bincount(self.part[at], self.weight[at], self.parts), kind="stable")
@@ -189,7 +205,7 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, closing: int = CLOSING, s
     spark = docs.sparkSession
     entries, kind = _kind(path, closing)
     where = scratch_path(spark, "tokenized")
-    tokenized(docs, path, closing).withColumn("row", F.monotonically_increasing_id()).write.option(
+    tokenized(docs, path, size, closing).withColumn("row", F.monotonically_increasing_id()).write.option(
         "compression", "zstd").option("parquet.enable.dictionary", "false").parquet(where)
     rows = spark.read.parquet(where)
     held, n, tokens = frequencies(rows, entries, kind)
@@ -236,21 +252,26 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, closing: int = CLOSING, s
             yield rows_of()
 
         for batch in batches:
-            for doc, cell in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-                ids = np.frombuffer(cell.as_buffer(), dtype=kind)
-                part = Part(doc, ids, 0, len(ids))
-                while len(part.ids) >= size:
-                    put([part.take(size)])
-                    if len(out) >= 10_000:
-                        yield rows_of()
-                if len(part.ids):
-                    part.ids = part.ids.copy()  # the batch can go
-                    waiting.append(part)
-                    waits += len(part.ids)
+            for doc, start, total, cell in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens")), batch.column("ids")):
+                waiting.append(Part(doc, np.frombuffer(cell.as_py(), dtype=kind), start, total))
+                waits += len(waiting[-1].ids)
                 if waits >= shard:
                     yield from flush(False)
         yield from flush(True)
 
     small_batches(docs)
-    dealt = rows.repartitionByRange(max(1, -(-tokens // task)), "signature", "row").sortWithinPartitions("signature", "row")
-    return dealt.select("doc_id", "ids").mapInArrow(run, _SCHEMA + (", ids array<int>" if with_ids else ""))
+    more = ["ids"] if with_ids else []
+    rests = rows.where("ids_crc32 IS NULL").select("doc_id", "start", "doc_tokens", "ids", "signature", "row")
+    dealt = rests.repartitionByRange(max(1, -(-tokens // task)), "signature", "row").sortWithinPartitions("signature", "row")
+    packed = dealt.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(run, _SCHEMA + (", ids array<int>" if with_ids else ""))
+    # A whole window is a sequence of its own; their numbers are negative.
+    whole = rows.where("ids_crc32 IS NOT NULL").select(
+        "doc_id", "start", F.lit(size).cast("bigint").alias("length"), "ids_crc32", "doc_tokens", (-1 - F.col("row")).alias("sequence_id"),
+        F.lit(0).cast("bigint").alias("offset"), *more)
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = pa.array([np.frombuffer(x.as_buffer(), dtype=kind).astype("<i4") for x in batch.column("ids")], pa.list_(pa.int32()))
+            yield batch.set_column(batch.num_columns - 1, "ids", ids)
+
+    return packed.unionByName(whole.mapInArrow(opened, _SCHEMA + ", ids array<int>") if with_ids else whole)
