@@ -6,13 +6,18 @@ import re
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # How a query may start, the commands that may follow a WITH or FROM clause, and functions that run other code.
 STARTS = ["SELECT", "WITH", "VALUES", "FROM"]
 COMMAND = r"\b(INSERT) +(?:INTO|OVERWRITE)\b|\b(DELETE) +FROM\b|\b(UPDATE) +\S+ +SET\b|\b(MERGE) +INTO\b"
 CALLS = ["reflect", "java_method", "try_reflect"]
 
+# A relation of two parts, one of which is quoted and no plain name (a file behind any format or class name), and a quoted path.
+RELATION = r"\b(?:FROM|JOIN|TABLE) *\(* *(?:[\w.]+|`[^`]*`) *\. *`(?!\w+`)|\b(?:FROM|JOIN|TABLE) *\(* *`(?!\w+`)[^`]*` *\."
+PATH = r"\. *`[^`]*[/:\\][^`]*`"
+
 TOKEN = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`(?:[^`]|``)*`|--[^\n]*|/\*|\w+|\s+|.", re.S)
 
 
@@ -59,6 +64,9 @@ def check_read_only(query: str) -> None:
         raise ReadOnlyError(f"{call.group(1)} is not allowed")
     if re.search(r"\b(parquet|csv|json|orc|text|avro|binaryfile|delta|jdbc) *\. *`", named, re.I):
         raise ReadOnlyError("files are read through the source functions")
+    whole = "".join(tokens)
+    if re.search(RELATION, whole, re.I) or re.search(PATH, whole):
+        raise ReadOnlyError("only registered tables can be read")
 
 
 @dataclass(frozen=True)
@@ -82,7 +90,9 @@ def try_query(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None
     """As ``query``, but run for its row count; refusals and errors, at run time too, are reported instead of raised."""
     try:
         rows = query(spark, sql, tables)
-        rows.write.format("noop").mode("overwrite").save()  # a count alone would leave columns out, and their errors
-        return Outcome(True, rows, tuple(rows.columns), n_rows=rows.count())
+        seen = Observation()
+        # A count alone would leave columns out, and their errors.
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+        return Outcome(True, rows, tuple(rows.columns), n_rows=seen.get["n"])
     except (ReadOnlyError, PySparkException) as problem:
         return Outcome(False, None, error=str(problem).splitlines()[0])

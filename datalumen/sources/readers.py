@@ -41,8 +41,15 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None, **option
     return typed(reader.csv(path, inferSchema=False))
 
 
-def read_json(spark: SparkSession, path: str, schema: str | None = None, array: bool = False, **options) -> DataFrame:
-    """JSON with one record per line, which Spark can split; ``array`` reads files that hold one array each."""
+def read_json(spark: SparkSession, path: str, schema: str | None = None, array: bool | None = None, **options) -> DataFrame:
+    """JSON with one record per line, which Spark can split, or files that hold one array each, which it reads file by file.
+
+    Without ``array`` the first sign that is not white space decides: a bracket opens an array.
+    """
+    if array is None:
+        lines = spark.read.text(path).where(F.ltrim(F.translate("value", "\t\r\ufeff", "")) != "").select(F.ltrim(F.translate("value", "\t\r\ufeff", "")).alias("v"))
+        first = lines.first()
+        array = first is not None and first["v"].startswith("[")
     reader = spark.read.option("multiLine", array).options(**options)
     return (reader.schema(schema) if schema else reader).json(path)
 

@@ -59,3 +59,24 @@ def test_sources(spark, tmp_path):
     array = tmp_path / "data.json"
     array.write_text('[{"a": 1}, {"a": 2}]')
     assert load(spark, str(array), array=True).count() == 2
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT * FROM xml.`/etc/hostname`", "SELECT * FROM xml.`data.xml`", "SELECT * FROM a, xml . `/x/y`", "SELECT 1 FROM (xml.`rows.xml`)",
+    "SELECT * FROM `org.apache.spark.sql.execution.datasources.text.TextFileFormat`.`/etc/hostname`",
+    "SELECT * FROM `org.apache.spark.sql.execution.datasources.text.TextFileFormat`.rows", "WITH t AS (SELECT * FROM a JOIN custom.`x y`) SELECT * FROM t"])
+def test_files_behind_any_format_are_refused(sql):
+    with pytest.raises(ReadOnlyError):
+        check_read_only(sql)
+
+
+@pytest.mark.parametrize("sql", ["SELECT t.`a b`, t.`c.d` FROM `t`", "SELECT * FROM db.`sales` JOIN `x` ON `x`.`a b` = sales.k", "SELECT 'from x.`/y`' AS s FROM t"])
+def test_quoted_names_are_allowed(sql):
+    check_read_only(sql)
+
+
+def test_json_arrays_and_lines_load_alike(spark, tmp_path):
+    records = '{"a": 1, "b": "x"}', '{"a": 2, "b": "y"}'
+    for name, text in (("lines.json", "\n".join(records)), ("array.json", "\n  [\n" + ",\n".join(records) + "\n]\n"), ("one.json", f"[{','.join(records)}]")):
+        (tmp_path / name).write_text(text)
+        assert sorted(map(tuple, load(spark, str(tmp_path / name)).collect())) == [(1, "x"), (2, "y")]
