@@ -5,14 +5,15 @@ shard, so the reference is cut down first and each document meets only the shard
 
 1. Every window selects the smallest of its word ``ANCHOR``-grams. Equal windows select equal anchors, so a window can
    only repeat where its anchor does. Consecutive windows with one anchor are a *block*; anchors in one document are dropped.
+   A document's places of one block are kept as progressions, so a run of one word makes two rows however long it is.
 2. Blocks that are equal as a whole need no comparison of words: all but those in the smallest document go. This covers
    the inside of passages and of copies, however many there are, by grouped minima.
 3. What is left are the first holders of differing blocks around one anchor (the ends of passages, edited copies).
-   Each anchor's blocks are a reference shard. In ascending order of documents, a block is streamed through the shard's suffix
+   Each anchor's blocks, each once per document, are a reference shard. In ascending order of documents, a block is streamed through the shard's suffix
    automaton for its matching statistics; words under a match of ``n`` or more go, and then the block joins the automaton.
    Shards are bounded by ``shard`` blocks; anchors with more of them compare their windows by hash, grouped in the same way.
 
-Null and empty texts have no words. Rows with the same id never remove each other's words; rows without an id neither
+Null and empty texts have no words; very long texts, also runs of one word, need memory for one text at a time. Rows with the same id never remove each other's words; rows without an id neither
 remove nor lose words. Repeated rows each get their own result.
 """
 
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datalumen.llm.common import PLAIN, Sequences, documents, key, marked, slices
@@ -34,6 +35,8 @@ WINDOW = 50
 ANCHOR = 25
 #: Blocks in one automaton.
 SHARD = 64
+#: Blocks of one document in an Arrow batch.
+CUT_ROWS = 500
 _POSITION = np.uint64((1 << 28) - 1)
 
 
@@ -67,22 +70,38 @@ def _window_blocks(words, n: int):
     return hashes, (text[first], grams.of(pick[first], pick[first] + anchor), runs.of(low, high + n), low - base, high - base)
 
 
+def _progressions(text, anchor, block, low, high):
+    """The same blocks, those of equal text, anchor and block at equal distances as one: the first one's place, the step and the count."""
+    order = np.lexsort((low, block, anchor, text))
+    text, anchor, block, low, high = (x[order] for x in (text, anchor, block, low, high))
+    same = np.zeros(len(low), dtype=bool)
+    same[1:] = (text[1:] == text[:-1]) & (anchor[1:] == anchor[:-1]) & (block[1:] == block[:-1])
+    step = np.where(same, np.diff(low, prepend=low[:1]), 0)
+    goes_on = same.copy()
+    goes_on[1:] &= step[1:] == step[:-1]
+    first = np.flatnonzero(~goes_on)
+    return *(x[first] for x in (text, anchor, block, low, high, step)), np.diff(np.append(first, len(low)))
+
+
 def blocks(docs: DataFrame, n: int = WINDOW) -> DataFrame:
-    """``doc_id, row_key, anchor, block, low, high``: the blocks of every document with an id."""
+    """``doc_id, row_key, anchor, block, low, high, step, times``: the blocks of every document with an id.
+
+    ``low`` and ``high`` are the first and last window start of a block, which stands there ``times`` times, ``step`` words apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in slices(batches):
             _, found = _window_blocks(texts.words(PLAIN), n)
             if found is not None:
-                text, anchor, block, low, high = found
+                text, anchor, block, low, high, step, times = _progressions(*found)
                 rows = texts.rows.take(pa.array(text))
                 yield pa.RecordBatch.from_arrays([
                     rows.column("doc_id"), rows.column("row_key"), pa.array(anchor.view(np.int64)), pa.array(block.view(np.int64)),
-                    pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))],
-                    names=["doc_id", "row_key", "anchor", "block", "low", "high"])
+                    *[pa.array(x.astype(np.int32)) for x in (low, high, step, times)]],
+                    names=["doc_id", "row_key", "anchor", "block", "low", "high", "step", "times"])
 
     return docs.where("doc_id is not null").mapInArrow(
-        run, "doc_id bigint, row_key bigint, anchor bigint, block bigint, low int, high int")
+        run, "doc_id bigint, row_key bigint, anchor bigint, block bigint, low int, high int, step int, times int")
 
 
 class Automaton:
@@ -149,41 +168,44 @@ def _spans(ends: list[int], n: int) -> list[tuple[int, int]]:
     return out
 
 
-def _shard_spans(rows: list[tuple[int, int, int, list]], n: int) -> Iterator[tuple[int, int, int, int]]:
-    """``doc_id, row_key, start, stop`` of what blocks ``(doc_id, row_key, low, words)`` of one anchor repeat of smaller documents."""
+def _shard_spans(rows: list[tuple[int, int, int, list]], n: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """``doc_id, row_key, block, start, stop`` of what blocks ``(doc_id, row_key, block, words)`` of one anchor repeat of smaller documents."""
     shard, waiting, of = Automaton(), [], None
-    for doc, row, low, words in rows:
+    for doc, row, block, words in rows:
         if doc != of:
             for earlier in waiting:
                 shard.add(earlier)
             waiting, of = [], doc
         waiting.append(words)
         for a, b in _spans([i for i, m in enumerate(shard.matches(words)) if m >= n], n):
-            yield doc, row, low + a, low + b
+            yield doc, row, block, a, b
+
+
+_INSIDE = "anchor bigint, doc_id bigint, row_key bigint, block bigint, start int, stop int"
 
 
 def _from_shards(opened: DataFrame, n: int) -> DataFrame:
-    """Spans by automata; the rows of an anchor come together, in order of documents."""
+    """Spans inside blocks by automata; the rows of an anchor come together, in order of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def finished(rows):
-            found = list(_shard_spans(rows, n))
-            return pa.RecordBatch.from_pylist([dict(zip(("doc_id", "row_key", "start", "stop"), x)) for x in found], schema=schema)
+        def finished(anchor, rows):
+            found = [(anchor, *x) for x in _shard_spans(rows, n)]
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, x)) for x in found], schema=schema)
 
-        schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+        schema = pa.schema([*[(c, pa.int64()) for c in ("anchor", "doc_id", "row_key", "block")], ("start", pa.int32()), ("stop", pa.int32())])
         anchor, rows = None, []
         for batch in batches:
-            for r in zip(*[batch.column(c).to_pylist() for c in ("anchor", "doc_id", "row_key", "low", "words")]):
+            for r in zip(*[batch.column(c).to_pylist() for c in ("anchor", "doc_id", "row_key", "block", "words")]):
                 if r[0] != anchor:
                     if len(rows) > 1:
-                        yield finished(rows)
+                        yield finished(anchor, rows)
                     anchor, rows = r[0], []
                 rows.append(r[1:])
         if len(rows) > 1:
-            yield finished(rows)
+            yield finished(anchor, rows)
 
-    placed = opened.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "low")
-    return placed.mapInArrow(run, "doc_id bigint, row_key bigint, start int, stop int")
+    placed = opened.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "block")
+    return placed.mapInArrow(run, _INSIDE)
 
 
 def _from_windows(opened: DataFrame, n: int) -> DataFrame:
@@ -198,16 +220,27 @@ def _from_windows(opened: DataFrame, n: int) -> DataFrame:
             inside = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             at = base[row] + inside
             found = Sequences(words, 0).of(at, at + n)
-            anchor, doc, key_, low = (batch.column(c).to_numpy()[row] for c in ("anchor", "doc_id", "row_key", "low"))
             yield pa.RecordBatch.from_arrays([
-                pa.array(anchor), pa.array(doc), pa.array(key_), pa.array((low + inside).astype(np.int32)),
-                pa.array(found.view(np.int64))], names=["anchor", "doc_id", "row_key", "start", "window"])
+                *[pa.array(batch.column(c).to_numpy()[row]) for c in ("anchor", "doc_id", "row_key", "block")],
+                pa.array(inside.astype(np.int32)), pa.array(found.view(np.int64))],
+                names=["anchor", "doc_id", "row_key", "block", "start", "window"])
 
-    windows = checkpointed(opened.mapInArrow(run, "anchor bigint, doc_id bigint, row_key bigint, start int, window bigint"))
+    windows = checkpointed(opened.mapInArrow(run, "anchor bigint, doc_id bigint, row_key bigint, block bigint, start int, window bigint"))
     first = checkpointed(windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("other"))
                          .where("holder < other").drop("other"))
     return windows.join(first, ["anchor", "window"]).where("doc_id > holder").select(
-        "doc_id", "row_key", "start", (F.col("start") + n).alias("stop"))
+        "anchor", "doc_id", "row_key", "block", "start", (F.col("start") + n).alias("stop"))
+
+
+def _everywhere(held: DataFrame, start: Column, stop: Column) -> DataFrame:
+    """``doc_id, row_key, start, stop`` of a span inside a block at all its places; places that touch each other are one span."""
+    held = held.select("doc_id", "row_key", "step", "times", start.alias("start"), stop.alias("stop"))
+    touching = F.col("step") <= F.col("stop") - F.col("start")
+    places = F.when(touching, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("times") - 1))
+    wide = F.when(touching, (F.col("times") - 1) * F.col("step")).otherwise(F.lit(0))
+    return held.select("doc_id", "row_key", "start", "stop", "step", wide.alias("wide"), F.explode(places).alias("place")).select(
+        "doc_id", "row_key", (F.col("start") + F.col("place") * F.col("step")).alias("start"),
+        (F.col("stop") + F.col("place") * F.col("step") + F.col("wide")).alias("stop"))
 
 
 def repeated_spans(packed: DataFrame, docs: DataFrame, n: int = WINDOW, shard: int = SHARD) -> DataFrame:
@@ -221,27 +254,36 @@ def repeated_spans(packed: DataFrame, docs: DataFrame, n: int = WINDOW, shard: i
     holders = checkpointed(holders)
     several = checkpointed(several.where("kinds > 1"))
     known = checkpointed(held.join(holders, ["anchor", "block"]))
-    whole = known.where("doc_id > holder").select("doc_id", "row_key", F.col("low").alias("start"), (F.col("high") + n).alias("stop"))
-    opened = known.where("doc_id = holder").join(several, "anchor").distinct()
-    wanted = opened.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("anchor", "kinds", "low", "high")).alias("parts"))
+    whole = _everywhere(known.where("doc_id > holder"), F.col("low"), F.col("high") + n)
+    opened = known.where("doc_id = holder").join(several, "anchor")
+    once = opened.groupBy("doc_id", "row_key", "anchor", "block", "kinds").agg(F.min(F.struct("low", "high")).alias("at"))
+    wanted = once.groupBy("doc_id", "row_key").agg(
+        F.collect_list(F.struct("anchor", "block", "kinds", F.col("at.low"), F.col("at.high"))).alias("parts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for one in unpacked(batch):
                 words = one.words(PLAIN)
                 hashes = words.hashes().view(np.int64)
-                doc, row, parts = (one.rows.column(c)[0].as_py() for c in ("doc_id", "row_key", "parts"))
-                yield pa.RecordBatch.from_pylist([{
-                    "anchor": p["anchor"], "kinds": p["kinds"], "doc_id": doc, "row_key": row, "low": p["low"],
-                    "words": hashes[p["low"]:p["high"] + n].tolist()} for p in parts], schema=schema)
+                doc, row = (one.rows.column(c)[0].as_py() for c in ("doc_id", "row_key"))
+                parts = pa.RecordBatch.from_struct_array(one.rows.column("parts").flatten())
+                for at in range(0, parts.num_rows, CUT_ROWS):
+                    some = parts.slice(at, CUT_ROWS)
+                    low, high = (some.column(c).to_numpy().astype(np.int64) for c in ("low", "high"))
+                    ends = np.cumsum(high + n - low)
+                    place = np.arange(ends[-1]) + np.repeat(high + n - ends, high + n - low)
+                    own = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(hashes[place]))
+                    yield pa.RecordBatch.from_arrays([
+                        some.column("anchor"), some.column("kinds"), pa.array([doc] * len(low), pa.int64()),
+                        pa.array([row] * len(low), pa.int64()), some.column("block"), own],
+                        names=["anchor", "kinds", "doc_id", "row_key", "block", "words"])
 
-    schema = pa.schema([("anchor", pa.int64()), ("kinds", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()),
-                        ("low", pa.int32()), ("words", pa.list_(pa.int64()))])
     one_row_each = packed.join(checkpointed(wanted), ["doc_id", "row_key"]).dropDuplicates(["doc_id", "row_key"])
     parts = checkpointed(one_row_each.mapInArrow(
-        cut, "anchor bigint, kinds bigint, doc_id bigint, row_key bigint, low int, words array<bigint>"))
-    spans = whole.union(_from_shards(parts.where(F.col("kinds") <= shard), n)).union(
-        _from_windows(parts.where(F.col("kinds") > shard), n))
+        cut, "anchor bigint, kinds bigint, doc_id bigint, row_key bigint, block bigint, words array<bigint>"))
+    inside = _from_shards(parts.where(F.col("kinds") <= shard), n).union(_from_windows(parts.where(F.col("kinds") > shard), n))
+    placed = known.where("doc_id = holder").join(inside, ["anchor", "doc_id", "row_key", "block"])
+    spans = whole.union(_everywhere(placed, F.col("low") + F.col("start"), F.col("low") + F.col("stop")))
     return spans.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 

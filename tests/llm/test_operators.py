@@ -99,6 +99,18 @@ def test_repeats(docs, n, shard):
     assert texts == {k[3] for k in expected}
 
 
+def test_long_runs_of_few_words(spark):
+    n = 200_000
+    run, two = "0 " * n, "a b c " * 20_000
+    table = [(1, run + "x"), (2, run + "y"), (3, "0 " * 60 + "z"), (4, two + "x"), (5, "y " + two), (6, "0 " * 49)]
+    docs = spark.createDataFrame(table, "doc_id bigint, text string").repartition(2)
+    assert substrings.blocks(substrings.key(docs)).count() < 1000
+    found = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.repeat_digests(docs).collect()}
+    left = {1: table[0][1], 2: "y", 3: "z", 4: table[3][1], 5: "y", 6: table[5][1]}
+    assert found == {d: (len(t.split()), len(t.split()) - len(left[d].split()), hashlib.sha256(" ".join(left[d].split()).encode()).hexdigest())
+                     for d, t in table}
+
+
 def test_nothing_repeats(nothing):
     assert substrings.repeat_digests(nothing).count() == 0
 
