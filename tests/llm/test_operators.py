@@ -328,6 +328,31 @@ def test_notices_with_gaps(spark):
     assert found[4].labels == "cc-by,cc-by-nc-4.0" and found[4].n_base == 3
 
 
+GPL_2 = ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+         "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.")
+
+
+@pytest.mark.parametrize("text, labels", [
+    ("This work is licensed under the GNU General Public License version 2.", "gpl,gpl-2.0"),
+    ("This work is licensed under the GNU General Public License version 3.", "gpl,gpl-3.0"),
+    ("This work is licensed under the GNU General Public License.", "gpl"),
+    ("Licensed under the GNU Lesser General Public License version 2.1", "lgpl-2.1"),
+    ("Licensed under the license version 2.0 of somebody", ""),
+    ("Licensed under the Apache License, Version 2.0", "apache,apache-2.0"),
+    (GPL_2, "gpl,gpl-2.0"), (GPL_2.replace("version 2", "version 3"), "gpl,gpl-3.0"), (GPL_2.replace("either version 2", "some version"), "gpl,gpl-notice"),
+    (licenses.TEMPLATES[6][1], "bsd-2-clause"), (licenses.TEMPLATES[7][1], "bsd-3-clause"),
+    ("\u212aind words licensed under cc by 4.0", "cc-by,cc-by-4.0")])
+def test_notices_get_their_own_label_only(spark, text, labels):
+    table = spark.createDataFrame([(1, text), (2, "w " * 40 + text + " v" * 40), (2, "w " * 40 + text + " v" * 40)], "doc_id bigint, text string")
+    assert [r.labels for r in licenses.license_report(table).collect()] == [labels] * 3
+
+
+def test_every_template_is_its_own_best_match(spark):
+    table = spark.createDataFrame([(i, notice) for i, (_, notice, _) in enumerate(licenses.TEMPLATES)], "doc_id bigint, text string")
+    found = {r.doc_id: set(r.labels.split(",")) - set(licenses.PHRASES.values()) for r in licenses.license_report(table).collect()}
+    assert found == {i: {label} for i, (label, _, _) in enumerate(licenses.TEMPLATES)}
+
+
 def test_secrets(docs, nothing):
     rules = [("assign", re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 12),
              ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile("[0-9a-f]+"), 0, 16)]
