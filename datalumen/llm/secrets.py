@@ -2,12 +2,15 @@
 
 A sample of the values found by each rule (the ``SAMPLE`` distinct ones with the smallest hash, a documented bound) is
 put into a prefix tree over character classes. States whose continuations are statistically compatible (Hoeffding
-bounds) are merged until a small probabilistic automaton is left for each rule. Every run of ``LEAST`` or more characters that values of the assign rule may hold is then scored by its
-likelihood per character under the automata against random characters, without the dots around it; so are its pieces between dots.
+bounds) are merged until a small probabilistic automaton is left for each rule. Every run of ``LEAST`` or more
+characters that values of the assign rule may hold is then scored by its likelihood per character under the automata against the better of two
+explanations: random characters, and the corpus's own words, whose letter pairs are counted over all documents outside the rules' spans.
+Runs are scored without the dots around them; so are their pieces between dots.
 Tokens at or above ``THRESHOLD`` bits that no rule has found become spans too, pieces only where the whole does not.
 
+The automata are fitted on the first ``FITTED`` characters of a value, so that their trees are bounded; all tokens are scored whole.
 Null and empty texts have no secrets. Repeated rows each get their own result. Without any credential nothing is learned and only
-the rules apply.
+the rules apply; without any words only random characters stand against a format.
 """
 
 from __future__ import annotations
@@ -21,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datalumen.llm.common import SLICE_BYTES, documents, key, slices, unused
+from datalumen.llm.common import SLICE_BYTES, documents, key, marked, slices, unused
 from datalumen.session import checkpointed
 
-SAMPLE, CONFIDENCE, THRESHOLD, LONG, LEAST = 300, 0.05, 0.5, 16, 12
+SAMPLE, FITTED, CONFIDENCE, THRESHOLD, LONG, LEAST = 300, 256, 0.05, 0.5, 16, 12
 KINDS = ("assign", "access", "hex", "format")
 MASK = "[secret]"
 
@@ -34,6 +37,12 @@ _WORDS = (b"passw", b"secret", b"token", b"api")
 _HEX = np.isin(np.arange(256), list(b"0123456789abcdef"))
 _TOKEN = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"))
 
+#: Per byte: 1 to 26 for letters of either case, else 0.
+_LETTER = np.zeros(256, dtype=np.int64)
+_LETTER[97:123] = _LETTER[65:91] = np.arange(1, 27)
+_CAPITAL = np.isin(np.arange(256), np.arange(65, 91))
+_NO_WORD = np.isin(np.arange(256), list(b"0123456789+_="))
+
 # -- candidates -----------------------------------------------------------------------------------------------------
 
 
@@ -65,8 +74,27 @@ def _pieces(raw: bytes, start: int, stop: int) -> Iterator[tuple[int, int]]:
             a += len(piece) + 1
 
 
+def _letter_pairs(data: np.ndarray, bounds: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """How often one letter follows another (or begins a word, after 0) in plain words, as ``27 * first + second``; rule spans are left out.
+
+    Plain words are in runs without digits and ``+_=`` and have capitals at their beginning only.
+    """
+    token, letter = _TOKEN[data], _LETTER[data]
+    before = np.zeros(len(data), dtype=np.int64)
+    before[1:] = letter[:-1]
+    before[bounds[:-1][bounds[:-1] < len(data)]] = 0
+    odd = np.concatenate(([0], np.cumsum(known | _NO_WORD[data] | (_CAPITAL[data] & (before > 0)))))
+    start, stop = _runs(token, bounds, 1)
+    plain = odd[stop] == odd[start]
+    use = marked(len(data), start[plain], stop[plain]) & (letter > 0)
+    return np.bincount(before[use] * 27 + letter[use], minlength=27 * 27)
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """``doc_id, row_key, found, tokens``: rule spans ``kind, start, stop, value`` and the tokens to score, in code points."""
+    """``doc_id, row_key, found, tokens, pairs``: rule spans ``kind, start, stop, value`` and the tokens to score, in code points.
+
+    ``pairs`` are the letter pairs of a slice of rows, held by its first row.
+    """
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("value", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,9 +104,12 @@ def scan(docs: DataFrame) -> DataFrame:
             raw = data.tobytes()
             found: list[list] = [[] for _ in range(len(texts))]
             tokens: list[list] = [[] for _ in range(len(texts))]
+            known = np.zeros(len(data), dtype=bool)
 
             def add(to: list, i: int, kind: str, start: int, stop: int, value: bytes) -> None:
                 base = points[bounds[i]]
+                if to is found:
+                    known[start:stop] = True
                 to[i].append({"kind": kind, "start": int(points[start] - base), "stop": int(points[stop] - base), "value": value.decode()})
 
             lowered = raw.lower()
@@ -100,13 +131,17 @@ def scan(docs: DataFrame) -> DataFrame:
                 for i, s, e in zip(row.tolist(), start.tolist(), stop.tolist()):
                     for a, b in _pieces(raw, s, e) if kind == "format" else ((s, e),):
                         add(to, i, kind, a, b, raw[a:b])
+            counts = _letter_pairs(data, bounds, known)
+            seen = np.flatnonzero(counts)
+            pairs = [[{"pair": p, "n": n} for p, n in zip(seen.tolist(), counts[seen].tolist())], *[[]] * (len(texts) - 1)]
             yield pa.RecordBatch.from_arrays([
                 texts.rows.column("doc_id"), texts.rows.column("row_key"),
                 pa.array([sorted(x, key=lambda s: (s["start"], KINDS.index(s["kind"]))) for x in found], pa.list_(span)),
-                pa.array(tokens, pa.list_(span))], names=["doc_id", "row_key", "found", "tokens"])
+                pa.array(tokens, pa.list_(span)), pa.array(pairs, pa.list_(pa.struct([("pair", pa.int32()), ("n", pa.int64())])))],
+                names=["doc_id", "row_key", "found", "tokens", "pairs"])
 
     spans = "array<struct<kind:string,start:bigint,stop:bigint,value:string>>"
-    return key(documents(docs)).mapInArrow(run, f"doc_id bigint, row_key bigint, found {spans}, tokens {spans}")
+    return key(documents(docs)).mapInArrow(run, f"doc_id bigint, row_key bigint, found {spans}, tokens {spans}, pairs array<struct<pair:int,n:bigint>>")
 
 
 # -- formats --------------------------------------------------------------------------------------------------------
@@ -116,6 +151,7 @@ _CLASSES = {"d": "0123456789", "h": "abcdef", "l": "ghijklmnopqrstuvwxyz", "H":
 _CLASS = {c: k for k, cs in _CLASSES.items() for c in cs}
 _BITS = {k: math.log2(len(cs)) for k, cs in _CLASSES.items()}
 _RANDOM_BITS = 6.0
+_SMOOTHED = 5.0
 _UNSEEN = 2.0 ** -13
 
 
@@ -128,7 +164,7 @@ class Format:
         self._bound = math.sqrt(0.5 * math.log(2 / confidence))
         for value in values:
             state = 0
-            for c in value:
+            for c in value[:FITTED]:
                 c = _CLASS.get(c, c)
                 self.n[state] += 1
                 self.uses[state][c] = self.uses[state].get(c, 0) + 1
@@ -137,7 +173,7 @@ class Format:
                     self.n.append(0), self.ends.append(0), self.next.append({}), self.uses.append({})
                 state = self.next[state][c]
             self.n[state] += 1
-            self.ends[state] += 1
+            self.ends[state] += len(value) <= FITTED
         self._merge_all()
 
     def _differs(self, x: int, n: int, y: int, m: int) -> bool:
@@ -194,7 +230,7 @@ class Format:
         self.states = kept
 
     def bits(self, value: str) -> float:
-        """Bits per character by which the format explains a token better than random characters do; none if only the token has dots inside."""
+        """The logarithm of a token's likelihood; none if only the token has dots inside."""
         if "." in value and not self.dotted:
             return -math.inf
         state, total = 0, 0.0
@@ -202,14 +238,31 @@ class Format:
             k = _CLASS.get(c, c)
             used = self.uses[state].get(k, 0) if state is not None else 0
             share = used / self.n[state] if used else _UNSEEN
-            total += math.log2(share) - _BITS.get(k, 0.0) + _RANDOM_BITS
+            total += math.log2(share) - _BITS.get(k, 0.0)
             state = self.next[state][k] if used else 0
-        return total / len(value) if value else -math.inf
+        return total
+
+
+class Plain:
+    """What a token is if it is no credential: random characters, or words by the letter pairs of the corpus with random signs between."""
+
+    def __init__(self, pairs: dict[int, int]):
+        n = np.zeros(27 * 27)
+        n[list(pairs)] = list(pairs.values())
+        n = n.reshape(27, 27)
+        letters = (n.sum(axis=0) + 1) / (n.sum() + 26)
+        self.table = np.log2((n + _SMOOTHED * letters) / (n.sum(axis=1, keepdims=True) + _SMOOTHED))
+
+    def bits(self, value: str) -> float:
+        code = _LETTER[np.frombuffer(value.encode(), dtype=np.uint8)]
+        words = self.table[np.concatenate(([0], code[:-1])), code]
+        return max(-_RANDOM_BITS * len(code), float(np.where(code > 0, words, -_RANDOM_BITS).sum()))
 
 
 def learn(scanned: DataFrame, sample: int = SAMPLE) -> dict[str, Format]:
-    """One automaton for each rule, from its ``sample`` values with the smallest hashes."""
-    values = scanned.select(F.explode("found").alias("s")).select("s.kind", "s.value").distinct()
+    """One automaton for each rule, from the first ``FITTED`` characters of its ``sample`` values with the smallest hashes."""
+    cut = F.substring("s.value", 1, FITTED + 1).alias("value")
+    values = scanned.select(F.explode("found").alias("s")).select("s.kind", cut).distinct()
     out = {}
     for kind in KINDS[:3]:
         rows = values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample).collect()
@@ -218,17 +271,25 @@ def learn(scanned: DataFrame, sample: int = SAMPLE) -> dict[str, Format]:
     return out
 
 
+def plain_words(scanned: DataFrame) -> Plain:
+    """The word model of all documents, from at most 729 counted letter pairs."""
+    pairs = scanned.select(F.explode("pairs").alias("p")).groupBy("p.pair").agg(F.sum("p.n").alias("n"))
+    return Plain({r.pair: r.n for r in pairs.collect()})
+
+
 def find_secrets(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, row_key, found, added, best``: rule spans, spans of learned formats, and the highest score of a token."""
     scanned = checkpointed(scan(docs))
     formats = learn(scanned, sample)
+    plain = plain_words(scanned)
     added_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("score", pa.float64())]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             added, best = [], []
             for found, tokens in zip(batch.column("found").to_pylist(), batch.column("tokens").to_pylist()):
-                scores = [max((f.bits(t["value"]) for f in formats.values()), default=-math.inf) for t in tokens]
+                values = [t["value"] for t in tokens] if formats else []
+                scores = [(max(f.bits(v) for f in formats.values()) - plain.bits(v)) / len(v) for v in values]
                 taken = iter(found)
                 own, current, end = [], next(taken, None), 0
                 for t, s in zip(tokens, scores):  # both in page order, whole runs before their pieces; rule spans of one start may overlap
@@ -243,7 +304,7 @@ def find_secrets(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRES
                 batch.column("doc_id"), batch.column("row_key"), batch.column("found"), pa.array(added, added_type),
                 pa.array(best, pa.float64())], names=["doc_id", "row_key", "found", "added", "best"])
 
-    return scanned.mapInArrow(score, "doc_id bigint, row_key bigint, found array<struct<kind:string,start:bigint,stop:bigint,value:string>>, "
+    return scanned.drop("pairs").mapInArrow(score, "doc_id bigint, row_key bigint, found array<struct<kind:string,start:bigint,stop:bigint,value:string>>, "
                                      "added array<struct<kind:string,start:bigint,stop:bigint,score:double>>, best double")
 
 

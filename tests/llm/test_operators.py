@@ -395,6 +395,35 @@ def test_short_lettered_and_dotted_credentials_are_scored(spark, letters, parts)
     assert all(found[d] == t for d, t in plain)
 
 
+def test_planted_credentials_are_found_and_plain_words_left_alone(spark):
+    rng = random.Random(12)
+    heads = "inter trans counter under over mis dis electro micro hyper photo auto".split()
+    stems = "nation form organ respons acknowledg communic represent distribut establish character".split()
+    tails = "ally ation alization ibilities ments edgement izations iveness ednesses istically".split()
+    forms = [lambda: "sk_" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=30)),
+             lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=24))]
+    word = lambda: rng.choice(heads) + rng.choice(stems) + rng.choice(tails)
+    prose = [(i, " ".join(rng.choice([word(), word().capitalize(), word() + "-" + word(), "the", "of", "and"]) for _ in range(40))) for i in range(500)]
+    labelled = [(1000 + i, f"token: {rng.choice(forms)()}") for i in range(200)] + [(2000 + i, f"password = {word()}") for i in range(18)]
+    planted = [(3000 + i, f"see {f()} here") for i in range(100) for f in forms]
+    long = [(5000 + i, "secret=" + "ab1" * 100_000 + str(i)) for i in range(3)]
+    docs = spark.createDataFrame(prose + labelled + planted + long, "doc_id bigint, text string")
+    found = {}
+    for r in secrets.secret_report(docs).collect():
+        found[r.doc_id] = found.get(r.doc_id, 0) + r.spans.count("format")
+    tokens = sum(len(w) >= secrets.LEAST for _, text in prose for w in text.split())
+    assert tokens > 10_000 and sum(found[d] for d, _ in prose) <= tokens / 10_000
+    assert sum(found[d] for d in {d for d, _ in planted}) >= 0.95 * len(planted)
+
+
+def test_words_used_as_passwords_mask_no_prose(spark):
+    words = "internationalization characteristically responsibilities misunderstandings telecommunications straightforward".split()
+    table = [(i, f"password = {w}{'s' * (i % 3)}") for i, w in enumerate(words * 3)]
+    table.append((99, "The international organizations acknowledged their responsibilities, notwithstanding administrative misunderstandings and consequences."))
+    found = secrets.mask_secrets(spark.createDataFrame(table, "doc_id bigint, text string")).where("doc_id = 99").first()
+    assert found.text == table[-1][1]
+
+
 @pytest.mark.parametrize("html, text", [
     (None, ""), ("", ""), ("<", ""), ("<p>a", "a"), ("plain text", "plain text"),
     ("<head><title>T</title></head><nav><a href=x>M</a></nav><article><h1>T</h1><p>a &lt;b&gt; &amp c&nbsp;<b>d</b>e<br>f</article><footer>z",
