@@ -4,22 +4,25 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import FeatureHasher, Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import FeatureHasher, Imputer, StringIndexer, VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datalumen.functions.columns import col, is_numeric, is_text
+from datalumen.functions.columns import col, is_numeric, is_text, join_null_safe
+from datalumen.operators.quantiles import quantiles
+from datalumen.session import checkpointed
 
 TREES = 50
 SEED = 42
 MIN_ROWS = 15
-MAX_LEVELS = 200
-HASH_WIDTH = 1024
+#: Places that the levels of a text column are hashed to, the same at every size of the table.
+HASH_WIDTH = 256
 
 
 class NotTrainable(ValueError):
@@ -44,32 +47,45 @@ def feature_columns(df: DataFrame, target: str) -> list[str]:
     ]
 
 
-def feature_stages(df: DataFrame, features: list[str]) -> tuple[DataFrame, list, list[str]]:
-    """Stages for median fill and one-hot columns; text with very many levels is hashed instead, none is dropped."""
+def feature_stages(df: DataFrame, features: list[str], width: int = HASH_WIDTH) -> tuple[DataFrame, list, list[str]]:
+    """Stages for median fill and hashed text: the levels of each text column share ``width`` places, however many there are.
+
+    Places without a level, and other features that never vary, are left out, since they would stand in the way of the trees' choice.
+    """
     numbers = [c for c in features if not is_text(df.schema[c])]
-    texts = [c for c in features if is_text(df.schema[c])]
     frame = df.withColumns({c: col(c).cast("double") for c in numbers})
-    levels = {}
-    if texts:
-        levels = df.agg(*[F.approx_count_distinct(col(c)).alias(c) for c in texts]).first().asDict()
-    listed = [c for c in texts if levels[c] <= MAX_LEVELS]
-    hashed = [c for c in texts if levels[c] > MAX_LEVELS]
     stages, inputs = [], []
     if numbers:
         stages.append(Imputer(strategy="median", inputCols=numbers, outputCols=[f"num_{c}" for c in numbers]))
         inputs += [f"num_{c}" for c in numbers]
-    if listed:
-        stages.append(StringIndexer(inputCols=listed, outputCols=[f"idx_{c}" for c in listed], handleInvalid="keep",
-                                    stringOrderType="alphabetDesc"))
-        stages.append(OneHotEncoder(inputCols=[f"idx_{c}" for c in listed], outputCols=[f"cat_{c}" for c in listed]))
-        inputs += [f"cat_{c}" for c in listed]
-    for c in hashed:
-        stages.append(FeatureHasher(inputCols=[c], outputCol=f"hash_{c}", numFeatures=HASH_WIDTH))
-        inputs.append(f"hash_{c}")
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
+    for c in features:
+        if c not in numbers:
+            stages.append(FeatureHasher(inputCols=[c], outputCol=f"hash_{c}", numFeatures=width))
+            inputs.append(f"hash_{c}")
+    stages.append(VectorAssembler(inputCols=inputs, outputCol="every"))
+    stages.append(VarianceThresholdSelector(featuresCol="every", outputCol="features", varianceThreshold=0.0))
     return frame, stages, inputs
 
 
+def test_quarter(df: DataFrame, by: list[str], name: str = "_test") -> DataFrame:
+    """Add whether a row is in the test quarter: ceil(n / 4) of the n rows of each group, by a number drawn for each row.
+
+    The rows are written down with their numbers (in the shared checkpoint folder), so that the split survives retries; the border number of each
+    group is an exact quantile, so rows are neither sorted nor moved.
+    """
+    drawn = checkpointed(df.withColumn("_draw", F.rand(SEED)))
+    border = quantiles(drawn, ["_draw"], [0.25], by).select(*[col(k) for k in by], F.get("_draw", 0).alias("_border"))
+    met = join_null_safe(drawn, border, by) if by else drawn.withColumn("_border", border.scalar())
+    return met.select(*[col(c) for c in df.columns], (F.col("_draw") <= F.col("_border")).alias(name))
+
+
+def split_sizes(df: DataFrame, target: str) -> DataFrame:
+    """Rows, training rows and test rows of each class of the target."""
+    rows = test_quarter(df.filter(col(target).isNotNull()).select(col(target)), [target])
+    return rows.groupBy(col(target).alias("target_class")).agg(
+        F.count("*").alias("n_rows"), F.count_if(~F.col("_test")).alias("train_rows"), F.count_if("_test").alias("test_rows"))
+
+
 @dataclass(frozen=True)
 class Baseline:
     kind: str
@@ -78,11 +94,8 @@ class Baseline:
     importance: DataFrame
 
 
-def train_baseline(df: DataFrame, target: str, kind: str | None = None) -> Baseline:
-    """Fit 50 trees on three quarters of the rows and score the rest.
-
-    A hash of the row decides its side, so the split survives retries and is even within each class.
-    """
+def train_baseline(df: DataFrame, target: str, kind: str | None = None, width: int = HASH_WIDTH) -> Baseline:
+    """Fit 50 trees on three quarters of the rows (of each class) and score the rest; ``width`` is that of hashed text."""
     rows = df.filter(col(target).isNotNull())
     n = rows.count()
     if n < MIN_ROWS:
@@ -91,13 +104,11 @@ def train_baseline(df: DataFrame, target: str, kind: str | None = None) -> Basel
     features = feature_columns(rows, target)
     if not features:
         raise NotTrainable("no predictor left once ids and dates are gone")
-    plain = [col(f.name) for f in rows.schema if is_numeric(f) or is_text(f)]
-    # The side is fixed on the raw row, before columns are cast or dropped.
-    frame = rows.withColumn("_test", F.pmod(F.xxhash64(F.lit(SEED), *plain), F.lit(4)) == 0)
     # The stages know the columns by number, since they take no names with dots.
     short = [f"c{i}" for i in range(len(features))]
-    frame = frame.select(*[col(c).alias(s) for c, s in zip(features, short)], col(target).alias("_target"), "_test")
-    frame, stages, inputs = feature_stages(frame, short)
+    frame = rows.select(*[col(c).alias(s) for c, s in zip(features, short)], col(target).alias("_target"))
+    frame = test_quarter(frame, ["_target"] if kind == "classification" else [])
+    frame, stages, inputs = feature_stages(frame, short, width)
     classes = 0
     if kind == "classification":
         if rows.select(col(target)).distinct().limit(2).count() < 2:
@@ -106,12 +117,15 @@ def train_baseline(df: DataFrame, target: str, kind: str | None = None) -> Basel
         frame = frame.withColumn("_target", F.col("_target").cast("string"))
         index = StringIndexer(inputCol="_target", outputCol="label").fit(frame)
         frame, classes = index.transform(frame), len(index.labels)
-        stages.append(RandomForestClassifier(numTrees=TREES, seed=SEED))
+        forest = RandomForestClassifier(numTrees=TREES, seed=SEED)
     else:
         frame = frame.withColumn("label", F.col("_target").cast("double"))
-        stages.append(RandomForestRegressor(numTrees=TREES, seed=SEED))
+        forest = RandomForestRegressor(numTrees=TREES, seed=SEED)
     train, test = frame.filter(~F.col("_test")), frame.filter("_test")
-    model = Pipeline(stages=stages).fit(train)
+    prepared = Pipeline(stages=stages).fit(train)
+    if not prepared.stages[-1].selectedFeatures:
+        raise NotTrainable("no predictor varies")
+    model = PipelineModel([*prepared.stages, forest.fit(prepared.transform(train))])
     scored = model.transform(test)
     metrics = _metrics(scored, kind, classes)
     sizes = frame.agg(F.count_if(~F.col("_test")).alias("train"), F.count_if("_test").alias("test")).first()
@@ -119,31 +133,39 @@ def train_baseline(df: DataFrame, target: str, kind: str | None = None) -> Basel
     spark = df.sparkSession
     return Baseline(
         kind, model, spark.createDataFrame(found, "metric string, value double").withColumn("value", F.round("value", 4)),
-        spark.createDataFrame(_importance(model, inputs, features), "feature string, importance double, importance_pct double"))
+        spark.createDataFrame(_importance(model, inputs, features, width), "feature string, importance double, importance_pct double"))
 
 
 def _metrics(scored: DataFrame, kind: str, classes: int) -> dict[str, float]:
+    """Scores of the test rows in one pass (two with a binary target)."""
     if kind == "regression":
-        return {m: RegressionEvaluator(metricName=m).evaluate(scored) for m in ("mae", "rmse", "r2")}
-    names = {"accuracy": "accuracy", "precision": "weightedPrecision", "recall": "weightedRecall", "f1_score": "f1"}
-    out = {k: MulticlassClassificationEvaluator(metricName=m).evaluate(scored) for k, m in names.items()}
+        gap = F.col("prediction") - F.col("label")
+        sums = scored.agg(F.avg(F.abs(gap)).alias("mae"), F.avg(gap * gap).alias("mse"), F.var_pop("label").alias("spread")).first()
+        r2 = 1 - sums["mse"] / sums["spread"] if sums["spread"] else 0.0
+        return {"mae": sums["mae"], "rmse": sums["mse"] ** 0.5, "r2": r2}
+    pairs = {(r["label"], r["prediction"]): r["n"] for r in scored.groupBy("label", "prediction").agg(F.count("*").alias("n")).collect()}
+    total = sum(pairs.values())
+    true, said = {}, {}
+    for (label, guess), n in pairs.items():
+        true[label] = true.get(label, 0) + n
+        said[guess] = said.get(guess, 0) + n
+    precision = recall = f1 = 0.0
+    for label, n in true.items():
+        hit = pairs.get((label, label), 0)
+        p, r = hit / said[label] if label in said else 0.0, hit / n
+        precision, recall, f1 = precision + p * n / total, recall + r * n / total, f1 + (2 * p * r / (p + r) * n / total if hit else 0.0)
+    out = {"accuracy": sum(n for (label, guess), n in pairs.items() if label == guess) / total,
+           "precision": precision, "recall": recall, "f1_score": f1}
     if classes == 2:
         out["roc_auc"] = BinaryClassificationEvaluator(metricName="areaUnderROC").evaluate(scored)
     return out
 
 
-def _importance(model: PipelineModel, inputs: list[str], features: list[str], top: int = 5) -> list[tuple[str, float, float]]:
+def _importance(model: PipelineModel, inputs: list[str], features: list[str], width: int, top: int = 5) -> list[tuple[str, float, float]]:
     """Importances summed back to their source column, the best five with their share among the five."""
-    forest, assembler = model.stages[-1], model.stages[-2]
-    sizes = []
-    encoders = {name: size for stage in model.stages if hasattr(stage, "categorySizes")
-                for name, size in zip(stage.getOutputCols(), stage.categorySizes)}
-    for name in assembler.getInputCols():
-        if name.startswith("hash_"):
-            sizes.append(HASH_WIDTH)
-        else:
-            sizes.append(encoders[name] - 1 if name in encoders else 1)
-    values = forest.featureImportances.toArray()
+    sizes = [width if name.startswith("hash_") else 1 for name in inputs]
+    values = np.zeros(sum(sizes))
+    values[list(model.stages[-2].selectedFeatures)] = model.stages[-1].featureImportances.toArray()
     totals, start = {}, 0
     for name, size in zip(inputs, sizes):
         source = features[int(name.split("_c", 1)[1])]

@@ -180,6 +180,13 @@ def forecast_summary(t: Tables) -> DataFrame:
     return out.withColumn("p_value", F.round("p_value", 6))
 
 
+@query("ml_split", """
+SELECT o_orderstatus AS target_class, count(*) AS n_rows, count(*) - CAST(ceil(count(*) / 4.0) AS BIGINT) AS train_rows,
+  CAST(ceil(count(*) / 4.0) AS BIGINT) AS test_rows FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY 1""")
+def ml_split(t: Tables) -> DataFrame:
+    return modeling.split_sizes(t.orders, "o_orderstatus")
+
+
 @query("ml_classify")
 def ml_classify(t: Tables) -> DataFrame:
     return modeling.train_baseline(t.orders, "o_orderstatus").metrics

@@ -167,6 +167,37 @@ def test_many_levels_are_hashed_not_dropped(spark):
     assert "name" in {r["feature"] for r in fit.importance.collect()}
 
 
+def test_one_encoding_at_every_size(spark):
+    for n in (60, 600):
+        df = spark.createDataFrame([(f"k{i}", float(i % 5), float(i)) for i in range(n)], "name string, a double, y double")
+        model = modeling.train_baseline(df, "y", "regression", width=64).model
+        assert [type(x).__name__ for x in model.stages] == [
+            "ImputerModel", "FeatureHasher", "VectorAssembler", "VarianceThresholdSelectorModel", "RandomForestRegressionModel"]
+        assert 2 < model.stages[-1].numFeatures <= 65
+    with pytest.raises(modeling.NotTrainable):
+        modeling.train_baseline(spark.createDataFrame([("k", float(i)) for i in range(40)], "name string, y double"), "y", "regression")
+
+
+def test_the_test_quarter_is_exact_in_each_class(spark):
+    rows = [(f"c{k}", i) for k, n in enumerate((1, 4, 5, 400)) for i in range(n)] + [(None, 1), (None, 2)]
+    df = spark.createDataFrame(rows, "y string, v int")
+    found = {r["y"]: (r["n"], r["t"]) for r in modeling.test_quarter(df, ["y"]).groupBy("y").agg(
+        F.count("*").alias("n"), F.count_if("_test").alias("t")).collect()}
+    assert found == {"c0": (1, 1), "c1": (4, 1), "c2": (5, 2), "c3": (400, 100), None: (2, 1)}
+    copies = modeling.test_quarter(spark.range(1000).selectExpr("'x' AS y"), []).where("_test")
+    assert copies.count() == copies.count() == 250
+
+
+def test_metrics_in_one_pass_are_those_of_the_evaluators(spark):
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+    scored = spark.createDataFrame([(float(i % 3), float((i * i) % 4 % 3)) for i in range(50)], "label double, prediction double")
+    found = modeling._metrics(scored, "classification", 3)
+    names = {"accuracy": "accuracy", "precision": "weightedPrecision", "recall": "weightedRecall", "f1_score": "f1"}
+    assert found == pytest.approx({k: MulticlassClassificationEvaluator(metricName=m).evaluate(scored) for k, m in names.items()})
+    assert modeling._metrics(scored, "regression", 0) == pytest.approx(
+        {m: RegressionEvaluator(metricName=m).evaluate(scored) for m in ("mae", "rmse", "r2")})
+
+
 def test_chart_rules(sales):
     kinds = [r["chart"] for r in charts.recommend_charts(sales, inspection.table_meta(sales)).collect()]
     assert kinds == ["line", "bar", "scatter", "box", "heatmap", "donut"]
