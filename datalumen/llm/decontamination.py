@@ -7,6 +7,9 @@ then the window's words are compared one by one.
 
 Null and empty texts have no words. Repeated rows each get their own result. An empty benchmark hits nothing.
 Items without an id count for hits but are not listed.
+
+Tasks hold windows by number only. Which items a window is of stays in a table: documents that hold the same windows
+share one list of items, made once for each such set.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from datalumen.session import checkpointed
 
 WINDOW = 10
 SHINGLE = 5
-#: Windows (with their items) held by a task at once; a larger benchmark is gone through in blocks of this many.
+#: Windows held by a task at once; a larger benchmark is gone through in blocks of this many.
 BLOCK_ROWS = 500_000
 _FILTER_BITS = 22
 
@@ -110,16 +113,15 @@ def _blocks(df: DataFrame, by: str, limit: int) -> list[DataFrame]:
     return [df.where(F.pmod(F.xxhash64(by), F.lit(parts)) == i) if parts > 1 else df for i in range(parts)]
 
 
-def prefixes(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_ROWS) -> DataFrame:
-    """``window, size, items, shingle, place``: each window with its rarest shingle and where in the window that stands."""
-    windows = benchmark_windows(benchmark)
+def prefixes(docs: DataFrame, windows: DataFrame, limit: int = BLOCK_ROWS) -> DataFrame:
+    """``window, number, size, shingle, place``: each window with its rarest shingle and where in the window that stands."""
     by_window = checkpointed(windows.groupBy("window").agg(
-        F.first("size").alias("size"), F.first("shingles").alias("shingles"), F.collect_set("item_id").alias("items")))
+        F.first("size").alias("size"), F.first("shingles").alias("shingles")).withColumn("number", F.monotonically_increasing_id()))
     each = by_window.select("window", "size", F.posexplode("shingles").alias("place", "shingle"))
     counts = shingle_counts(docs, each.select("shingle", F.least("size", F.lit(SHINGLE)).alias("size")).distinct(), limit)
     rarest = Window.partitionBy("window").orderBy(F.coalesce("n", F.lit(0)), "shingle", "place")
     first = each.join(counts, "shingle", "left").withColumn("rank", F.row_number().over(rarest)).where("rank = 1")
-    return checkpointed(first.select("window", "shingle", "place").join(by_window.select("window", "size", "items"), "window"))
+    return checkpointed(first.select("window", "shingle", "place").join(by_window.select("window", "size", "number"), "window"))
 
 
 class Index:
@@ -129,13 +131,13 @@ class Index:
         self.sizes: dict[int, tuple[_Known, dict[int, list]]] = {}
         grouped: dict[int, dict[int, list]] = {}
         for r in rows:
-            entry = (r.place, r["size"], r.window.encode(), list(r["items"]))
+            entry = (r.place, r["size"], r.window.encode(), r.number)
             grouped.setdefault(_shingle(r["size"]), {}).setdefault(r.shingle % 2**64, []).append(entry)
         for size, by in grouped.items():
             self.sizes[size] = (_Known(np.array(sorted(by), dtype=np.uint64)), by)
 
-    def matches(self, texts) -> tuple[object, dict[int, list[tuple[int, int, list]]]]:
-        """The words of the texts, and per text with any: ``(first word, end, items)`` of each occurring window."""
+    def matches(self, texts) -> tuple[object, dict[int, list[tuple[int, int, int]]]]:
+        """The words of the texts, and per text with any: ``(first word, end, number)`` of each occurring window."""
         words = texts.words(LOWERED)
         runs = Sequences(words.hashes(), 1)
         code, text_of, out = words.code.tobytes(), words.text_of(), {}
@@ -144,19 +146,19 @@ class Index:
             for p in known.places(found).tolist():
                 i = int(text_of[at[p]])
                 low, high = int(words.first[i]), int(words.first[i + 1])
-                for place, n, window, items in by[int(found[p])]:
+                for place, n, window, number in by[int(found[p])]:
                     start = int(at[p]) - place
                     if start < low or start + n > high:
                         continue
                     if b" ".join([code[words.start[w]:words.stop[w]] for w in range(start, start + n)]) == window:
-                        out.setdefault(i, []).append((start - low, start - low + n, items))
+                        out.setdefault(i, []).append((start - low, start - low + n, number))
         return words, out
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_ROWS) -> DataFrame:
-    """``doc_id, n_words, spans, items`` of every document: word spans of benchmark windows, and the items they are of."""
+def find_windows(docs: DataFrame, first: DataFrame, limit: int = BLOCK_ROWS) -> DataFrame:
+    """``doc_id, n_words, spans, numbers`` of every document: word spans of the windows ``first`` and their numbers, sorted."""
     docs = documents(docs)
-    blocks = _blocks(prefixes(docs, benchmark, limit), "window", limit)
+    blocks = _blocks(first, "window", limit)
     out = None
     for block in blocks:
         index = docs.sparkSession.sparkContext.broadcast(Index(block.collect()))
@@ -169,19 +171,39 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_ROWS
                     texts.rows.column("doc_id"), texts.rows.column("row_key"), pa.array(np.diff(words.first)),
                     pa.array([[{"start": a, "stop": b} for a, b in sorted({x[:2] for x in h})] for h in hits],
                              pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
-                    pa.array([sorted({x for y in h for x in y[2]}) for h in hits], pa.list_(pa.string()))],
-                    names=["doc_id", "row_key", "n_words", "spans", "items"])
+                    pa.array([sorted({x[2] for x in h}) for h in hits], pa.list_(pa.int64()))],
+                    names=["doc_id", "row_key", "n_words", "spans", "numbers"])
 
         part = key(docs).mapInArrow(find, "doc_id bigint, row_key bigint, n_words bigint, "
-                                          "spans array<struct<start:int,stop:int>>, items array<string>")
+                                          "spans array<struct<start:int,stop:int>>, numbers array<bigint>")
         out = part if out is None else out.union(part)
     if len(blocks) > 1:  # each row came once from every block
         merged = out.groupBy("doc_id", "row_key", "n_words").agg(
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("numbers")))).alias("numbers"),
             (F.count("*") / len(blocks)).cast("int").alias("copies"))
         out = merged.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return out.select("doc_id", "n_words", "spans", "items")
+    return out.select("doc_id", "n_words", "spans", "numbers")
+
+
+def _with_items(docs: DataFrame, benchmark: DataFrame, limit: int, facts: dict[str, Column]) -> DataFrame:
+    """``doc_id, n_words, spans`` and facts of ``items``, the sorted ids of the items whose windows occur."""
+    windows = checkpointed(benchmark_windows(benchmark))
+    first = prefixes(documents(docs), windows, limit)
+    found = checkpointed(find_windows(docs, first, limit))
+    owners = windows.where("item_id IS NOT NULL").join(first.select("window", "number"), "window").select("number", "item_id")
+    sets = found.where("size(numbers) > 0").select("numbers").distinct()
+    listed = sets.withColumn("number", F.explode("numbers")).join(owners, "number").groupBy("numbers").agg(
+        F.array_sort(F.collect_set("item_id")).alias("items"))
+    none = F.array().cast("array<string>")
+    hit = found.where("size(numbers) > 0").join(listed, "numbers", "left").withColumn("items", F.coalesce("items", none))
+    both = hit.unionByName(found.where("size(numbers) = 0").withColumn("items", none))
+    return both.select("doc_id", "n_words", "spans", *[fact.alias(name) for name, fact in facts.items()])
+
+
+def find_passages(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_ROWS) -> DataFrame:
+    """``doc_id, n_words, spans, items`` of every document: word spans of benchmark windows, and the items they are of."""
+    return _with_items(docs, benchmark, limit, {"items": F.col("items")})
 
 
 def covered(spans: str) -> Column:
@@ -194,16 +216,16 @@ def covered(spans: str) -> Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_ROWS) -> DataFrame:
     """Per document how many words are hit and which items occur."""
-    found = find_passages(docs, benchmark, limit)
+    found = _with_items(docs, benchmark, limit, {
+        "n_items": F.size("items").cast("bigint"), "items_sha256": F.sha2(F.array_join("items", ","), 256)})
     return found.select(
-        "doc_id", "n_words", covered("spans").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+        "doc_id", "n_words", covered("spans").alias("n_hit"), "n_items", "items_sha256", (F.size("spans") > 0).alias("contaminated"))
 
 
 def without_passages(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK_ROWS) -> DataFrame:
     """The documents, all columns, in which no benchmark window occurs."""
     out = docs
-    for block in _blocks(prefixes(documents(docs), benchmark, limit), "window", limit):
+    for block in _blocks(prefixes(documents(docs), benchmark_windows(benchmark), limit), "window", limit):
         index = docs.sparkSession.sparkContext.broadcast(Index(block.collect()))
 
         def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:

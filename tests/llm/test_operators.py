@@ -73,6 +73,19 @@ def test_contamination(spark, docs, limit):
     assert sum(n for k, n in expected.items() if k[-1]) > 5
 
 
+def test_contamination_by_a_passage_of_all_items(spark):
+    shared = " ".join(f"s{i}" for i in range(10))
+    items = [(f"i{i}", f"{shared} own{i}") for i in range(3000)]
+    texts = [(d, f"head {shared} tail") for d in range(40)] + [(40, f"{shared} own7"), (41, "nothing of it"), (42, None)]
+    docs, benchmark = spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id string, text string")
+    found = {r.doc_id: r for r in decontamination.contamination(docs, benchmark).collect()}
+    listed = hashlib.sha256(",".join(sorted(i for i, _ in items)).encode()).hexdigest()
+    assert all((found[d].n_hit, found[d].n_items, found[d].items_sha256) == (10, 3000, listed) for d in range(40))
+    assert (found[40].n_hit, found[40].n_items) == (11, 3000) and not found[41].contaminated and found[42].n_words == 0
+    passages = {r.doc_id: r["items"] for r in decontamination.find_passages(docs, benchmark).where("doc_id IN (0, 41)").collect()}
+    assert passages == {0: sorted(i for i, _ in items), 41: []}
+
+
 def test_contamination_of_nothing(spark, docs, nothing):
     empty = spark.createDataFrame([], "item_id bigint, text string")
     assert not decontamination.contamination(docs, empty).where("contaminated").count()
