@@ -71,6 +71,16 @@ def row_keys(df: DataFrame) -> list[Column]:
     return [comparable(col(f.name), f.dataType) for f in df.schema]
 
 
+def row_digest(df: DataFrame) -> list[Column]:
+    """Three 64-bit hashes that stand for a whole row where rows are only counted.
+
+    Nulls count by their place. Different rows share all three with a chance below one in 10^30 even among 10^13 rows,
+    but texts made to collide on purpose would count as equal.
+    """
+    parts = [part for key in row_keys(df) for part in (key.isNull(), key)]
+    return [F.xxhash64(F.lit(seed), *parts).alias(f"_digest_{seed}") for seed in range(3)]
+
+
 def _holds_map(kind: T.DataType) -> bool:
     return "map<" in kind.simpleString()
 

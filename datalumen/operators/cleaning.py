@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,6 +90,10 @@ def label_columns(df: DataFrame, names: list[str] | None = None) -> dict[str, di
     return {n: fixed.LABEL_MAP for n in names if any(word in n.lower() for word in fixed.LABEL_COLUMNS)}
 
 
+#: Entries of a label mapping that are written into the plan; a larger mapping is joined.
+IN_PLAN = 200
+
+
 def _relabel(c: Column, mapping: dict[str, str]) -> Column:
     pairs = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
     return F.coalesce(F.try_element_at(pairs, F.upper(strip(c))), c)
@@ -98,7 +102,20 @@ def _relabel(c: Column, mapping: dict[str, str]) -> Column:
 def clean_labels(df: DataFrame, mappings: dict[str, dict[str, str]] | None = None) -> DataFrame:
     """Replace label spellings by their canonical form; keys of the mapping are upper case."""
     mappings = label_columns(df) if mappings is None else mappings
-    return df.withColumns({c: _relabel(col(c), m) for c, m in mappings.items()})
+    df = df.withColumns({c: _relabel(col(c), m) for c, m in mappings.items() if len(m) <= IN_PLAN})
+    for c, m in mappings.items():
+        if len(m) > IN_PLAN:
+            df = _relabel_joined(df, c, m)
+    return df
+
+
+def _relabel_joined(df: DataFrame, c: str, mapping: dict[str, str]) -> DataFrame:
+    """The same by a join with the mapping, whose entries then stay out of the plan; Spark picks the join by its size."""
+    spelling, label = f"_spelling_of_{c}", f"_label_of_{c}"
+    entries = df.sparkSession.createDataFrame(list(mapping.items()), T.StructType([
+        T.StructField(spelling, T.StringType()), T.StructField(label, T.StringType())]))
+    met = df.join(entries, F.upper(strip(col(c))) == col(spelling), "left")
+    return met.withColumn(c, F.coalesce(col(label), col(c))).drop(spelling, label)
 
 
 def clean_cast_dates(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -115,16 +132,24 @@ def fit_numeric_fill(df: DataFrame, columns: list[str], strategy: str = "median"
 
     ``auto`` takes the median of a skewed column and the mean otherwise.
     """
+    _check_strategy(strategy)
+    return _numeric_fills(df, columns, strategy, df.agg(*_number_facts(df, columns)).first()) if columns else {}
+
+
+def _check_strategy(strategy: str) -> None:
     if strategy not in ("median", "mean", "auto"):
         raise ValueError("strategy is median, mean or auto")
-    if not columns:
-        return {}
+
+
+def _number_facts(df: DataFrame, columns: list[str]) -> list[Column]:
     aggs = [F.count("*").alias("rows")]
     for i, c in enumerate(columns):
         value = measure(df, c)
-        aggs += [hits(value.isNull()).alias(f"gap{i}"), F.avg(value).alias(f"mean{i}"),
-                 adjusted_skew(value).alias(f"skew{i}")]
-    row = df.agg(*aggs).first()
+        aggs += [hits(value.isNull()).alias(f"gap{i}"), F.avg(value).alias(f"mean{i}"), adjusted_skew(value).alias(f"skew{i}")]
+    return aggs
+
+
+def _numeric_fills(df: DataFrame, columns: list[str], strategy: str, row: Row) -> dict:
     gaps = {c: i for i, c in enumerate(columns) if row[f"gap{i}"] and row[f"mean{i}"] is not None}
     chosen = {
         c: "median" if strategy == "median" or (strategy == "auto" and abs(row[f"skew{i}"] or 0) > 0.5) else "mean"
@@ -142,10 +167,15 @@ def fit_category_fill(df: DataFrame, columns: list[str], strategy: str = "mode")
 
     The mode comes from value counts per column, so no task holds all distinct values.
     """
-    if not columns:
-        return {}
-    row = df.agg(*[hits(col(c).isNull()).alias(f"gap{i}") for i, c in enumerate(columns)]).first()
-    gaps = {c: row[f"gap{i}"] for i, c in enumerate(columns) if row[f"gap{i}"]}
+    return _category_fills(df, columns, strategy, df.agg(*_label_facts(columns)).first()) if columns else {}
+
+
+def _label_facts(columns: list[str]) -> list[Column]:
+    return [hits(col(c).isNull()).alias(f"blank{i}") for i, c in enumerate(columns)]
+
+
+def _category_fills(df: DataFrame, columns: list[str], strategy: str, row: Row) -> dict:
+    gaps = {c: row[f"blank{i}"] for i, c in enumerate(columns) if row[f"blank{i}"]}
     modes = {}
     if gaps and strategy == "mode":
         best = value_counts(df, list(gaps)).filter("value IS NOT NULL").groupBy("column").agg(
@@ -264,7 +294,7 @@ class CleaningOptions:
     category_fill: str = "mode"
     outliers: str = "clip"
     lenient: bool = False
-    durable: bool = False
+    durable: bool = True
 
 
 @dataclass(frozen=True)
@@ -321,8 +351,8 @@ def clean(df: DataFrame, meta: TableMeta, options: CleaningOptions = CleaningOpt
 
     Text is fitted in one pass over the raw table, fills on the table without duplicates, and fences on
     the filled table. Ids and dates are never turned into numbers unless ``lenient`` asks for it.
-    The table without duplicates is kept for the later passes: in the executors, or with ``durable`` in
-    the shared folder, which suits tables that take long to rebuild.
+    The table without duplicates is kept for the later passes: in the shared folder, or without ``durable`` in
+    the executors. One pass over it counts everything that labels, dates and fills need.
     """
     log: list[tuple] = []
 
@@ -337,6 +367,7 @@ def clean(df: DataFrame, meta: TableMeta, options: CleaningOptions = CleaningOpt
     numbers = _numeric_kinds(maybe, stats)
     for c, (kind, n) in numbers.items():
         note("formatted numbers", f"converted to {kind}", c, n)
+        note("unreadable numbers", "set to null", c, stats[c]["valid"] - n)
     texts = [c for c in texts if c in stats and c not in numbers]
     for c in texts if options.trim else []:
         note("white space", "trimmed", c, stats[c]["padded"])
@@ -353,8 +384,12 @@ def clean(df: DataFrame, meta: TableMeta, options: CleaningOptions = CleaningOpt
         body = checkpointed(body) if options.durable else body.persist(StorageLevel.MEMORY_AND_DISK)
     labels = label_columns(body, [c for c in roles.categorical_columns if c in texts]) if options.labels else {}
     dates = [c for c in roles.datetime_columns if is_text(body.schema[c])] if options.dates else []
+    numeric = list(roles.numerical_columns) if options.numeric_fill != "none" else []
+    named = [c for c in roles.categorical_columns if is_text(body.schema[c])] if options.category_fill != "none" else []
+    if numeric:
+        _check_strategy(options.numeric_fill)
     found = body.agg(
-        F.count("*").alias("rows"), *[hits(_relabel(col(c), m) != col(c)).alias(f"l_{c}") for c, m in labels.items()],
+        *_number_facts(body, numeric), *_label_facts(named), *[hits(_relabel(col(c), m) != col(c)).alias(f"l_{c}") for c, m in labels.items()],
         *[F.count(parsed_date(col(c))).alias(f"d_{c}") for c in dates]).first()
     note("duplicate rows", "removed", "*", meta.num_rows - found["rows"])
     labels = {c: m for c, m in labels.items() if found[f"l_{c}"]}
@@ -367,17 +402,13 @@ def clean(df: DataFrame, meta: TableMeta, options: CleaningOptions = CleaningOpt
 
     shaped = plan.finish_cells(body)
     fills = {}
-    if options.numeric_fill != "none":
-        for c, (value, chosen, gaps, skew) in fit_numeric_fill(
-                shaped, list(roles.numerical_columns), options.numeric_fill).items():
-            fills[c] = value
-            note("missing numbers", f"filled with {chosen}", c, gaps, f"value={round(value, 2)}")
-    if options.category_fill != "none":
-        names = [c for c in roles.categorical_columns if is_text(shaped.schema[c])]
-        for c, (value, gaps) in fit_category_fill(shaped, names, options.category_fill).items():
-            fills[c] = value
-            note("missing labels", "filled with " + ("mode" if options.category_fill == "mode" else "Unknown"),
-                 c, gaps, f"value={value}")
+    for c, (value, chosen, gaps, skew) in _numeric_fills(shaped, numeric, options.numeric_fill, found).items():
+        fills[c] = value
+        note("missing numbers", f"filled with {chosen}", c, gaps, f"value={round(value, 2)}")
+    for c, (value, gaps) in _category_fills(shaped, named, options.category_fill, found).items():
+        fills[c] = value
+        note("missing labels", "filled with " + ("mode" if options.category_fill == "mode" else "Unknown"),
+             c, gaps, f"value={value}")
     plan = CleaningPlan(**{**vars(plan), "fills": fills})
 
     if options.outliers != "none":

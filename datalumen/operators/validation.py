@@ -5,19 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datalumen.functions.columns import col, hits, is_nested, missing
-from datalumen.operators.inspection import duplicate_rows
+from datalumen.functions.columns import col, is_nested, missing
+from datalumen.operators.inspection import row_counts
 
 
 def state(df: DataFrame, name: str) -> DataFrame:
     """One row: rows, columns, missing cells and duplicate rows of a table."""
     fields = [f for f in df.schema if not is_nested(f)]
-    gaps = sum((hits(missing(col(f.name), f)) for f in fields), F.lit(0))
-    counts = df.agg(gaps.cast("bigint").alias("missing"))
-    dups = duplicate_rows(df)
-    return dups.select(
+    gaps = sum((missing(col(f.name), f).cast("bigint") for f in fields), F.lit(0).cast("bigint"))
+    return row_counts(df, {"missing": gaps}).select(
         F.lit(name).alias("stage"), F.col("num_rows").alias("rows"), F.lit(len(df.columns)).cast("bigint").alias("columns"),
-        counts.scalar().alias("missing"), F.col("duplicate_rows").alias("duplicates"))
+        "missing", F.col("duplicate_rows").alias("duplicates"))
 
 
 def before_after(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -106,3 +106,31 @@ def test_mode_takes_the_smallest_of_equals(spark):
 def test_summary(sales, result):
     row = validation.cleaning_summary(sales, result.cleaned, result.log).first()
     assert row["records_removed"] == 1 and row["duplicates_resolved"] == 1 and row["is_fully_clean"]
+
+
+def test_large_mappings_are_joined(spark):
+    mapping = {f"KEY{i}": f"label {i}" for i in range(20_000)} | {"F": "Female"}
+    df = spark.createDataFrame([(1, " key7 "), (2, "f"), (3, "other"), (4, None), (5, "key19999")], "i int, c string")
+    out = cleaning.clean_labels(df, {"c": mapping})
+    assert out.columns == ["i", "c"]
+    assert {r.i: r.c for r in out.collect()} == {1: "label 7", 2: "Female", 3: "other", 4: None, 5: "label 19999"}
+    small = dict(list(mapping.items())[:50])
+    same = cleaning.clean_labels(df, {"c": small}).exceptAll(cleaning._relabel_joined(df, "c", small))
+    assert same.count() == 0
+
+
+def test_values_lost_by_becoming_numbers_are_logged(spark):
+    df = spark.createDataFrame([(f"k{i}", f"${i}.5" if i else "about ten") for i in range(40)], "name string, cost string")
+    log = {(r["issue"], r["column"]): r["records_affected"] for r in cleaning.clean(df, table_meta(df)).log.collect()}
+    assert log["formatted numbers", "cost"] == 39 and log["unreadable numbers", "cost"] == 1
+
+
+def test_rows_are_counted_by_digests(spark):
+    from datalumen.operators.inspection import duplicate_rows, row_counts
+    df = spark.sql("""SELECT * FROM VALUES (1, NULL, 'a', 0.0D), (NULL, 1, 'a', -0.0D), (NULL, 1, 'a', 0.0D), (NULL, NULL, NULL, NULL),
+                      (NULL, NULL, NULL, NULL), (1, 2, 'ab', double('NaN')), (1, 2, 'ab', double('NaN')) AS t(a, b, c, d)""")
+    row = duplicate_rows(df).first()
+    assert (row.num_rows, row.duplicate_rows) == (df.count(), df.count() - df.distinct().count()) == (7, 3)
+    facts = row_counts(df, {"blank": F.col("a").isNull().cast("bigint")}).first()
+    assert (facts.num_rows, facts.blank) == (7, 4)
+    assert tuple(row_counts(df.limit(0), {"blank": F.lit(1)}).first()) == (0, 0, 0)
