@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from datalumen.operators import charts, exploration
+from datalumen.operators.inspection import table_meta
 from datalumen.plans.queries.cleaning import FENCES
-from datalumen.plans.queries.inspection import NUMBERS, union
+from datalumen.plans.queries.inspection import DIRTY_COLUMNS, INSPECT, NUMBERS, union
 from datalumen.plans.registry import DIRTY_CTE, Tables, query
 
 DERIVED = ["l_quantity", "l_extendedprice", "net", "charge"]
@@ -203,3 +204,29 @@ SELECT bins.bin, coalesce(n, 0) AS "count", round(lo + bins.bin * w, 4) AS bin_s
 FROM (SELECT unnest(range(20)) AS bin) bins CROSS JOIN e LEFT JOIN c ON c.bin = bins.bin""")
 def histogram(t: Tables) -> DataFrame:
     return charts.histogram(t.orders, "o_totalprice")
+
+
+def named(role: str) -> str:
+    return f"""list("column" ORDER BY place) FILTER (role = '{role}')"""
+
+
+def chart(name: str, kind: str, columns: str, aggregation: str, condition: str) -> str:
+    return f"""SELECT '{name}' AS chart_id, '{kind}' AS chart, {columns} AS "columns", '{aggregation}' AS aggregation FROM r WHERE {condition}"""
+
+
+CHART_RULES = f"""
+WITH p AS (SELECT *, list_position({list(DIRTY_COLUMNS)}, "column") AS place FROM ({INSPECT})),
+r AS (SELECT {named("numerical")} AS n, {named("categorical")} AS c, {named("datetime")} AS d,
+  arg_min(unique_count, place) FILTER (role = 'categorical') AS levels FROM p)
+""" + union([
+    chart("time_series_trend", "line", "concat_ws(',', d[1], n[1])", "sum per date", "len(d) > 0 AND len(n) > 0"),
+    chart("category_bar_chart", "bar", "concat_ws(',', c[1], n[1])", "sum per category", "len(c) > 0 AND len(n) > 0"),
+    chart("numerical_scatter", "scatter", "concat_ws(',', n[1], n[2])", "rows", "len(n) >= 2"),
+    chart("distribution_box", "box", "concat_ws(',', c[1], n[1])", "quartiles per category", "len(c) > 0 AND len(n) > 0"),
+    chart("correlation_heatmap", "heatmap", "array_to_string(n, ',')", "pearson", "len(n) >= 3"),
+    chart("category_donut", "donut", "c[1]", "share of rows", "len(c) > 0 AND levels <= 6")])
+
+
+@query("chart_rules", CHART_RULES)
+def chart_rules(t: Tables) -> DataFrame:
+    return charts.recommend_charts(t.dirty, table_meta(t.dirty)).withColumn("columns", F.array_join("columns", ","))
