@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -23,6 +24,8 @@ SEED = 42
 MIN_ROWS = 15
 #: Places that the levels of a text column are hashed to, the same at every size of the table.
 HASH_WIDTH = 256
+#: Bytes of rows, as the forest keeps them (a number per feature and per tree), that one task reads in each round.
+TASK_BYTES = 128_000_000
 
 
 class NotTrainable(ValueError):
@@ -67,15 +70,22 @@ def feature_stages(df: DataFrame, features: list[str], width: int = HASH_WIDTH)
     return frame, stages, inputs
 
 
-def test_quarter(df: DataFrame, by: list[str], name: str = "_test") -> DataFrame:
+def task_count(rows: int, features: int) -> int:
+    """Tasks among which that many rows are dealt so that each keeps at most ``TASK_BYTES`` of them."""
+    return max(1, ceil(rows * (4 * (features + TREES) + 100) / TASK_BYTES))
+
+
+def test_quarter(df: DataFrame, by: list[str], name: str = "_test", tasks: int = 1) -> DataFrame:
     """Add whether a row is in the test quarter: ceil(n / 4) of the n rows of each group, by a number drawn for each row.
 
     The rows are written down with their numbers (in the shared checkpoint folder), so that the split survives retries; the border number of each
-    group is an exact quantile, so rows are neither sorted nor moved.
+    group is an exact quantile, so rows are not sorted for it. With more than one of ``tasks`` the rows are dealt among so
+    many by their numbers, as a file of few blocks would leave them to few; otherwise they stay where they were read.
     """
-    drawn = checkpointed(df.withColumn("_draw", F.rand(SEED)))
+    rows = df.withColumn("_draw", F.rand(SEED))
+    drawn = checkpointed(rows.repartition(tasks, "_draw").sortWithinPartitions("_draw") if tasks > 1 else rows)
     border = quantiles(drawn, ["_draw"], [0.25], by).select(*[col(k) for k in by], F.get("_draw", 0).alias("_border"))
-    met = join_null_safe(drawn, border, by) if by else drawn.withColumn("_border", border.scalar())
+    met = join_null_safe(drawn, border, by) if by else drawn.withColumn("_border", checkpointed(border).scalar())
     return met.select(*[col(c) for c in df.columns], (F.col("_draw") <= F.col("_border")).alias(name))
 
 
@@ -107,7 +117,8 @@ def train_baseline(df: DataFrame, target: str, kind: str | None = None, width: i
     # The stages know the columns by number, since they take no names with dots.
     short = [f"c{i}" for i in range(len(features))]
     frame = rows.select(*[col(c).alias(s) for c, s in zip(features, short)], col(target).alias("_target"))
-    frame = test_quarter(frame, ["_target"] if kind == "classification" else [])
+    places = sum(width if is_text(frame.schema[s]) else 1 for s in short)
+    frame = test_quarter(frame, ["_target"] if kind == "classification" else [], tasks=task_count(n, places))
     frame, stages, inputs = feature_stages(frame, short, width)
     classes = 0
     if kind == "classification":

@@ -188,6 +188,22 @@ def test_the_test_quarter_is_exact_in_each_class(spark):
     assert copies.count() == copies.count() == 250
 
 
+def test_the_forest_deals_the_rows_of_one_block_among_tasks(spark, monkeypatch):
+    held, stages = [], modeling.feature_stages
+
+    def seen(frame, *more):
+        held.append(sorted(r["count"] for r in frame.groupBy(F.spark_partition_id()).count().collect()))
+        return stages(frame, *more)
+
+    monkeypatch.setattr(modeling, "feature_stages", seen)
+    monkeypatch.setattr(modeling, "TASK_BYTES", 100_000, raising=False)
+    df = spark.range(0, 400, 1, 1).selectExpr("concat('k', id % 7) AS name", "id % 40 AS a", "id * 1.0 AS y", "id % 40 > 20 AS b")
+    for target, tested in (("y", 100),):
+        fit = modeling.train_baseline(df, target)
+        assert sum(held[-1]) == 400 and len(held[-1]) >= 4 and held[-1][-1] < 150
+        assert {r["metric"]: r["value"] for r in fit.metrics.collect()}["test_rows"] == tested
+
+
 def test_metrics_in_one_pass_are_those_of_the_evaluators(spark):
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
     scored = spark.createDataFrame([(float(i % 3), float((i * i) % 4 % 3)) for i in range(50)], "label double, prediction double")
