@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -47,6 +48,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sent(df: DataFrame, most: int) -> DataFrame:
+    """The rows written down, to be joined: broadcast, so that no key gathers its rows in one task, unless they are more than ``most``."""
+    kept = checkpointed(df)
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

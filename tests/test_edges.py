@@ -198,12 +198,19 @@ def test_the_forest_deals_the_rows_of_one_block_among_tasks(spark, monkeypatch):
     monkeypatch.setattr(modeling, "feature_stages", seen)
     monkeypatch.setattr(modeling, "TASK_BYTES", 100_000, raising=False)
     df = spark.range(0, 400, 1, 1).selectExpr("concat('k', id % 7) AS name", "id % 40 AS a", "id * 1.0 AS y", "id % 40 > 20 AS b")
-    for target, tested in (("y", 100),):
+    for target, tested in (("y", 100), ("b", 101)):
         fit = modeling.train_baseline(df, target)
         assert sum(held[-1]) == 400 and len(held[-1]) >= 4 and held[-1][-1] < 150
         assert {r["metric"]: r["value"] for r in fit.metrics.collect()}["test_rows"] == tested
 
 
+def test_the_split_brings_no_class_into_one_task(spark):
+    df = spark.range(0, 4000, 1, 8).selectExpr("IF(id < 10, 'few', 'many') AS y", "id")
+    rows = modeling.test_quarter(df, ["y"])
+    assert [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()] == [500] * 8
+    assert {r["y"]: r["n"] for r in rows.where("_test").groupBy("y").agg(F.count("*").alias("n")).collect()} == {"few": 3, "many": 998}
+
+
 def test_metrics_in_one_pass_are_those_of_the_evaluators(spark):
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
     scored = spark.createDataFrame([(float(i % 3), float((i * i) % 4 % 3)) for i in range(50)], "label double, prediction double")
