@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from datalumen.functions.columns import col, hits, join_null_safe, measure, share
 from datalumen.operators.inspection import TableMeta
-from datalumen.operators.quantiles import quantiles
+from datalumen.operators.quantiles import BRACKETS, quantiles
+from datalumen.session import sent
 
 AGGREGATES = {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min, "count": F.count}
 
@@ -55,7 +56,7 @@ def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     rows = df.select(col(group).alias(group), measure(df, value).alias("_v")).filter("_v IS NOT NULL")
     quarts = quantiles(rows, ["_v"], [0.25, 0.5, 0.75], [group]).select(
         col(group), F.col("_v")[0].alias("q1"), F.col("_v")[1].alias("median"), F.col("_v")[2].alias("q3"))
-    both = join_null_safe(rows, quarts, [group])
+    both = join_null_safe(rows, sent(quarts, BRACKETS), [group])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("_v").between(F.col("q1") - reach, F.col("q3") + reach)
     return both.groupBy(col(group)).agg(

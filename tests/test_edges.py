@@ -211,6 +211,15 @@ def test_the_split_brings_no_class_into_one_task(spark):
     assert {r["y"]: r["n"] for r in rows.where("_test").groupBy("y").agg(F.count("*").alias("n")).collect()} == {"few": 3, "many": 998}
 
 
+def test_box_rows_are_not_sorted_by_group(spark):
+    df = spark.range(0, 400, 1, 4).selectExpr("IF(id < 20, NULL, 'many') AS g", "IF(id = 399, 9999.0, id * 1.0) AS v")
+    box = charts.box_stats(df, "g", "v")
+    assert {r["g"]: (r["n"], r["q1"], r["median"], r["q3"], r["whisker_low"], r["whisker_high"], r["outliers"]) for r in box.collect()} == {
+        None: (20, 4.75, 9.5, 14.25, 0.0, 19.0, 0), "many": (380, 114.75, 209.5, 304.25, 20.0, 398.0, 1)}
+    plan = box._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_metrics_in_one_pass_are_those_of_the_evaluators(spark):
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
     scored = spark.createDataFrame([(float(i % 3), float((i * i) % 4 % 3)) for i in range(50)], "label double, prediction double")
