@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from datalumen.functions.columns import any_of, col, hits, is_text, join_null_safe, measure, parsed_date, share, tidy
 from datalumen.operators.cleaning import outside
-from datalumen.operators.ordered import ranked
+from datalumen.operators.ordered import average_ranks
 from datalumen.operators.quantiles import fitted_quantiles, quantiles
 
 WIDE = 20
@@ -57,14 +57,8 @@ def corr_pearson(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def corr_spearman(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rank correlation of every pair; ties take their average rank, worked out per distinct value."""
-    numbers = complete_rows(df, columns)
-    rows = numbers.count()
-    for c in columns:
-        numbers = ranked(numbers, [], c, known=rows).withColumn(f"_rank_{c}", F.col("average_rank")).drop(
-            "rank", "dense_rank", "percent_rank", "cume_dist", "average_rank")
-    ranks = numbers.select(*[col(f"_rank_{c}").alias(c) for c in columns])
-    return _pair_correlations(ranks, columns, "spearman")
+    """Rank correlation of every pair; ties take their average rank."""
+    return _pair_correlations(average_ranks(complete_rows(df, columns), columns), columns, "spearman")
 
 
 def corr_top_pairs(df: DataFrame, columns: list[str], threshold: float = 0.2) -> DataFrame:

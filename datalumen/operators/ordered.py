@@ -8,8 +8,9 @@ are added: no task sees more than a slice.
 from __future__ import annotations
 
 from collections.abc import Callable
-from math import ceil
+from math import ceil, inf, isfinite
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -175,6 +176,55 @@ def _ranked_by_window(df: DataFrame, by: list[str], value: str, descending: bool
     return out.withColumn("average_rank", (F.col("rank") + upto) / 2.0).drop("_total")
 
 
+def average_ranks(df: DataFrame, columns: list[str], limit: int = ROWS_PER_TASK, known: int | None = None) -> DataFrame:
+    """The columns, doubles without nulls, with each value replaced by its average rank in its column.
+
+    Beyond the size of a task the values of each column fall into the spaces between estimated splits, or on a split itself. Counts of these,
+    for all columns in one pass, give the rank of every value that is a split, and what precedes the others. Only for those the rows are
+    shuffled, once for each column, and ranked within their space; rows on a split, which may be very many, are dealt by their hash.
+    """
+    rows = df.count() if known is None else known
+    if rows <= limit:
+        for c in columns:
+            df = ranked(df, [], c, limit=limit, known=rows).withColumn(f"_rank_{c}", F.col("average_rank")).drop(
+                "rank", "dense_rank", "percent_rank", "cume_dist", "average_rank")
+        return df.select(*[col(f"_rank_{c}").alias(c) for c in columns])
+    parts = ceil(2 * rows / limit)
+    names = [f"_v{i}" for i in range(len(columns))]
+    # Adding zero makes one value of 0.0 and -0.0.
+    df = df.select(*[(col(c) + F.lit(0.0)).alias(v) for c, v in zip(columns, names)])
+    picked = df.agg(*[F.percentile_approx(v, [i / parts for i in range(1, parts)], 10 * parts).alias(v) for v in names]).first()
+    splits = [[-inf, *(sorted({x for x in picked[v] if isfinite(x)}) or [0.0]), inf] for v in names]
+    cut = Bucketizer(splitsArray=splits, inputCols=names, outputCols=[f"_b{i}" for i in range(len(names))])
+
+    def places() -> list[Column]:
+        """Per column, twice the number of the split at or below the value, and one more beyond the split itself."""
+        found = [F.col(f"_b{i}").cast("int") for i in range(len(names))]
+        return [2 * b + F.when(F.col(v) == F.get(F.lit(s), b), 0).otherwise(1) for v, s, b in zip(names, splits, found)]
+
+    cells = [F.struct(F.lit(i).alias("column"), p.alias("place")) for i, p in enumerate(places())]
+    held = {(r["column"], r["place"]): r["count"] for r in cut.transform(df).select(
+        F.inline(F.array(*cells))).groupBy("column", "place").count().collect()}
+    for i, v in enumerate(names):
+        counts = [held.get((i, p), 0) for p in range(2 * len(splits[i]))]
+        before = [0]
+        for n in counts:
+            before.append(before[-1] + n)
+        one = Bucketizer(splits=splits[i], inputCol=v, outputCol=f"_b{i}")
+        placed = one.transform(df).select(*names, places()[i].alias("_place"))
+        at = F.get(F.lit([float(b) if p % 2 else b + (n + 1) / 2 for p, (b, n) in enumerate(zip(before, counts))]), F.col("_place"))
+        if any(counts[1::2]):
+            open_ = F.col("_place") % 2 == 1
+            salt = F.when(open_, 0).otherwise(F.pmod(F.xxhash64(*names), F.lit(parts)))
+            # A fixed number of tasks: repeated values are small when packed, and would be brought together by their bytes.
+            placed = placed.select(*names, (F.col("_place") * F.lit(parts) + salt).alias("_part")).repartition(2 * parts, "_part")
+            near = F.rank().over(Window.partitionBy("_part").orderBy(v)) + (F.count("*").over(Window.partitionBy("_part", v)) - 1) / 2
+            placed = placed.withColumn("_near", near).withColumn("_place", F.floor(F.col("_part") / parts).cast("int"))
+            at = at + F.when(open_, F.col("_near")).otherwise(0.0)
+        df = placed.select(*[at.alias(v) if n == v else n for n in names])
+    return df.select(*[F.col(v).alias(c) for c, v in zip(columns, names)])
+
+
 def tiles(df: DataFrame, n: int, order: list[Column], name: str = "tile", limit: int = ROWS_PER_TASK) -> DataFrame:
     """NTILE over the whole frame: the first ``rows mod n`` tiles hold one row more than the others."""
     total = df.count()

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from datalumen.operators.ordered import framed, numbered, ranked, tiles
+from datalumen.operators.ordered import average_ranks, framed, numbered, ranked, tiles
 from datalumen.operators import quantiles as narrowing
 from datalumen.operators.quantiles import quantiles
 
@@ -86,3 +86,18 @@ def test_estimated_quantiles_are_near(rows):
 def test_average_rank_of_both_ways(rows):
     few = ranked(rows, [], "v", limit=20).select("id", "average_rank")
     same(few, ranked(rows, [], "v").select("id", "average_rank"))
+
+
+def test_average_ranks_shuffle_rows_once_for_each_column_of_many_values(spark):
+    odd = [0.0, -0.0, 1e300, float("inf"), float("-inf"), 2.5, 2.5, -7.0]
+    df = spark.createDataFrame([(float(i % 3), odd[i % 8] if i % 5 else float(i), float(i * 7919 % 1000)) for i in range(1000)],
+                               "`a.b` double, b double, c double")
+    names = ["`a.b`", "b", "c"]
+    want = sorted(map(tuple, average_ranks(df, df.columns).collect()))
+    for limit in (20, 300, 999):
+        got = average_ranks(df, df.columns, limit=limit)
+        assert got.columns == df.columns and sorted(map(tuple, got.select(*names).collect())) == want
+
+    ranks = average_ranks(df, ["a.b"], limit=300)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in ranks
+    assert average_ranks(df, df.columns, limit=300)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
