@@ -22,8 +22,8 @@ from datalumen.session import checkpointed
 
 # Constants of the ranking; share of the mean weight that words with a negative one get.
 K1, B, FLOOR = 1.5, 0.75, 0.25
-#: Rows of the first piece of a slice and of the others, scores held at once, tokens of a slice.
-FIRST, PIECE, CELLS, SLICE_TOKENS = 64, 2048, 4_000_000, 8_000_000
+#: Rows of the first piece of a slice and of the others, bytes of text of any piece, scores held at once, tokens of a slice.
+FIRST, PIECE, PIECE_BYTES, CELLS, SLICE_TOKENS = 64, 2048, 8_000_000, 1_000_000, 8_000_000
 _SLACK = 1e-5
 
 
@@ -55,12 +55,11 @@ class Ranked:
             return
         if not self.ready:
             self._index()
-        at = 0
-        while at < rows.num_rows:
-            step = FIRST if not self.pieces else PIECE
-            self._piece(rows.slice(at, step))
-            self.pieces += 1
-            at += step
+        first = FIRST if not self.pieces else 0
+        for part in (rows.slice(0, first), rows.slice(first)):
+            for piece in pieces(part, PIECE):
+                self._piece(piece)
+                self.pieces += 1
 
     def _piece(self, rows: pa.RecordBatch) -> None:
         n, words = rows.num_rows, len(self.words)
@@ -135,6 +134,17 @@ class Ranked:
         return self.ids[self.held.query], self.held.row, self.held.score
 
 
+def pieces(rows: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows in runs of at most ``most`` and of at most ``PIECE_BYTES`` of text; a row with more stands alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(rows.column("text")), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < rows.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = min(at + most, max(at + 1, int(np.searchsorted(ends, before + PIECE_BYTES, side="right"))))
+        yield rows.slice(at, stop - at)
+        at = stop
+
+
 def split_words(texts: pa.Array) -> pa.ListArray:
     """The words of each text between ASCII white space; none of a null or blank one."""
     bare = pc.fill_null(pc.ascii_trim_whitespace(texts), "")
@@ -151,10 +161,10 @@ def split_words(texts: pa.Array) -> pa.ListArray:
 
 
 def statistics(corpus: DataFrame) -> DataFrame:
-    """``term, df`` of all words, and one row without a term: ``df`` rows and ``tokens`` tokens. One pass, counted inside tasks first."""
+    """``term, df`` of all words, and one row without a term: ``df`` rows and ``tokens`` tokens. One pass, counted piece by piece inside tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for rows in batches for piece in pieces(rows, rows.num_rows)):
             lists = split_words(batch.column("text"))
             coded = lists.flatten().dictionary_encode()
             words = max(1, len(coded.dictionary))

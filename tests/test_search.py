@@ -126,3 +126,20 @@ def test_keyword_lines_keep_order(spark):
     df = spark.createDataFrame([(1, "alpha one\n beta\nALPHA two\nthe end")], "id int, t string")
     rows = search.keyword_lines(df, "id", "t", "the alpha", 5).collect()
     assert [tuple(r) for r in rows] == [(1, 1, "alpha one"), (1, 2, "ALPHA two")]
+
+
+def test_pieces_are_bounded_by_their_text(monkeypatch):
+    import pyarrow as pa
+
+    from datalumen.operators import ranking
+    texts = ["a b"] * 200 + [None, "", "word " * 3000, "x y z" * 50] + ["c d" * 500] * 100
+    rows = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+    seen = []
+    monkeypatch.setattr(ranking, "PIECE_BYTES", 10_000, raising=False)
+    scorer = ranking.Ranked(3.0, 2)
+    scorer.ask(pa.RecordBatch.from_pydict({"id": [1], "terms": [["a", "word"]], "weights": [[1.0, 1.0]]}))
+    monkeypatch.setattr(scorer, "_piece", seen.append)
+    scorer.read(rows)
+    assert [x for piece in seen for x in piece["id"].to_pylist()] == list(range(len(texts)))
+    assert len(seen[0]) == ranking.FIRST
+    assert all(len(piece) == 1 or sum(len(t or "") for t in piece["text"].to_pylist()) <= 10_000 for piece in seen)
