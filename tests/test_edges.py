@@ -204,14 +204,22 @@ def test_the_forest_deals_the_rows_of_one_block_among_tasks(spark, monkeypatch):
         assert {r["metric"]: r["value"] for r in fit.metrics.collect()}["test_rows"] == tested
 
 
-def test_the_split_brings_no_class_into_one_task(spark):
+@pytest.fixture
+def unforced(spark):
+    """Spark broadcasts only what the code tells it to, as with large tables."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_the_split_brings_no_class_into_one_task(spark, unforced):
     df = spark.range(0, 4000, 1, 8).selectExpr("IF(id < 10, 'few', 'many') AS y", "id")
     rows = modeling.test_quarter(df, ["y"])
     assert [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()] == [500] * 8
     assert {r["y"]: r["n"] for r in rows.where("_test").groupBy("y").agg(F.count("*").alias("n")).collect()} == {"few": 3, "many": 998}
 
 
-def test_box_rows_are_not_sorted_by_group(spark):
+def test_box_rows_are_not_sorted_by_group(spark, unforced):
     df = spark.range(0, 400, 1, 4).selectExpr("IF(id < 20, NULL, 'many') AS g", "IF(id = 399, 9999.0, id * 1.0) AS v")
     box = charts.box_stats(df, "g", "v")
     assert {r["g"]: (r["n"], r["q1"], r["median"], r["q3"], r["whisker_low"], r["whisker_high"], r["outliers"]) for r in box.collect()} == {
