@@ -75,17 +75,17 @@ def task_count(rows: int, features: int) -> int:
     return max(1, ceil(rows * (4 * (features + TREES) + 100) / TASK_BYTES))
 
 
-def test_quarter(df: DataFrame, by: list[str], name: str = "_test", tasks: int = 1) -> DataFrame:
+def test_quarter(df: DataFrame, by: list[str], name: str = "_test", tasks: int | None = None) -> DataFrame:
     """Add whether a row is in the test quarter: ceil(n / 4) of the n rows of each group, by a number drawn for each row.
 
     The rows are written down with their numbers (in the shared checkpoint folder), so that the split survives retries; the border number of each
     group is an exact quantile, sent to the rows unless there are very many groups. With more than one of ``tasks`` the rows are dealt among so
-    many by their numbers, as a file of few blocks would leave them to few; otherwise they stay where they were read.
+    many by their numbers, as a file of few blocks would leave them to few; rows of one task are joined as Spark sees fit.
     """
     rows = df.withColumn("_draw", F.rand(SEED))
-    drawn = checkpointed(rows.repartition(tasks, "_draw").sortWithinPartitions("_draw") if tasks > 1 else rows)
+    drawn = checkpointed(rows.repartition(tasks, "_draw").sortWithinPartitions("_draw") if (tasks or 1) > 1 else rows)
     border = quantiles(drawn, ["_draw"], [0.25], by).select(*[col(k) for k in by], F.get("_draw", 0).alias("_border"))
-    met = join_null_safe(drawn, sent(border, BRACKETS), by) if by else drawn.withColumn("_border", checkpointed(border).scalar())
+    met = join_null_safe(drawn, border if tasks == 1 else sent(border, BRACKETS), by) if by else drawn.withColumn("_border", checkpointed(border).scalar())
     return met.select(*[col(c) for c in df.columns], (F.col("_draw") <= F.col("_border")).alias(name))
 
 
